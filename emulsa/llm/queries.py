@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
-QUERIES = {"op10_quality_rules": quality.op10_quality_rules}
+QUERIES = {"op4_simhash": simhash.op4_simhash, "op10_quality_rules": quality.op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
