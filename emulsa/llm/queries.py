@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import quality, simhash, tokens
 
-QUERIES = {"op4_simhash": simhash.op4_simhash, "op10_quality_rules": quality.op10_quality_rules}
+QUERIES = {"op3_token_output": tokens.op3_token_output, "op4_simhash": simhash.op4_simhash, "op10_quality_rules": quality.op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
