@@ -29,7 +29,7 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 #: Histograms are judged from so many words on.
 MIN_JUDGED_WORDS = 120
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.28
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.25
 
 
 def _language() -> Column:
