@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, tokens
+from . import mixing, quality, simhash, tokens, warc
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op3_token_output": tokens.op3_token_output, "op4_simhash": simhash.op4_simhash, "op10_quality_rules": quality.op10_quality_rules}
+QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_warc": warc.op2_warc, "op3_token_output": tokens.op3_token_output, "op4_simhash": simhash.op4_simhash, "op10_quality_rules": quality.op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
