@@ -13,7 +13,10 @@ a file of another name; the written list of files names those that count.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,37 +32,73 @@ from .common import fresh_dir, pinned, table, written
 MAGIC, BLOCK, END = b"TOKPACK1", 8192, 0
 DOUBLE_SPACE, CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 FILES = "file string, n_ids bigint, n_docs bigint, part int"
-#: A worker's memory of encoded pieces is emptied at so many.
-MEMORY = 200_000
+#: A worker's memory of encoded pieces is emptied beyond so many.
+MEMORY = 400_000
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts by a byte-level tokenizer, as little-endian uint32 bytes.
 
     Such a tokenizer never joins what stands before a space between two visible characters with what follows, so texts are
-    cut there and each piece is encoded once. test_tokens holds this against whole texts.
+    cut there and each piece is encoded once, all that are new to a batch of texts in one call. test_tokens holds this
+    against whole texts.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: tasks share out the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = (CUT.split(text) if DOUBLE_SPACE.search(text) else text.split(" "))
-        return self[head] + b"".join([self[" " + x] for x in rest]) if head else b"".join([self[" " + x] for x in rest])
+        lengths = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            lengths[i] = len(token)  # a byte-level token has a character for each byte
+        self.lengths = lengths
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> Encoder:
+        """One for all tasks of a Python worker, which unpickles this module anew for each task."""
+        state = sys.modules.setdefault("emulsa_worker_state", types.ModuleType("emulsa_worker_state"))
+        encoders = state.__dict__.setdefault("encoders", {})
+        if path not in encoders:
+            encoders[path] = cls(path)
+        return encoders[path]
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        head, *rest = CUT.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
+        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.pieces(x) for x in texts]
+        if len(self.known) >= MEMORY:
+            self.known, self.older = {}, self.known
+        new = set().union(*cut).difference(self.known)
+        self.known.update((x, self.older[x]) for x in new.intersection(self.older))
+        self._learn([x for x in new if x not in self.older])
+        get = self.known.__getitem__
+        return [b"".join(map(get, x)) for x in cut]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new pieces, hundreds joined to a text: ids are dealt out again by the bytes that they stand for."""
+        plain, odd = [], []
+        for x in new:
+            (plain if x[:1] == " " and x[1:2].strip() and x[-1:].strip() else odd).append(x)
+        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)] + [[x] for x in odd]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum([len(x.encode()) for x in group])
+            reached = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if len(group) == 1:
+                self.known[group[0]] = ids.tobytes()
+            elif len(ids) == 0 or cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):
+                self.known.update((x, np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()) for x in group)
+            else:
+                data, at = ids.tobytes(), (4 * cuts).tolist()
+                self.known.update(zip(group, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
 
 
 def bits_for(vocabulary: int) -> int:
@@ -170,15 +209,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, place: str, in_file_order: boo
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                for doc_id, text, p in zip(*[c.to_pylist() for c in some.columns], strict=True):
+                doc_ids, texts, parts = [c.to_pylist() for c in some.columns]
+                encoder = encoder or Encoder.shared(tokenizer)
+                for doc_id, ids, p in zip(doc_ids, encoder.encode([x or "" for x in texts]), parts, strict=True):
                     if writer is None:
-                        encoder, part = Encoder(tokenizer), p
+                        part = p
                         store, path = pafs.FileSystem.from_uri(place)
                         store.create_dir(path, recursive=True)
                         name = f"part-{p:06d}-{uuid.uuid4().hex}.tok"
                         out = store.open_output_stream(f"{path}/{name}")
                         writer = Writer(out, bits_for(encoder.vocabulary))
-                    writer.add(doc_id, encoder.encode(text or "") + end)
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             out.close()
