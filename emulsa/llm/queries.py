@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, mixing, quality, simhash, tokens, warc
+import corpus_pipeline
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_warc": warc.op2_warc, "op3_token_output": tokens.op3_token_output, "op4_simhash": simhash.op4_simhash, "op6_decontaminate": decontaminate.op6_decontaminate, "op9_line_dedup": lines.op9_line_dedup, "op10_quality_rules": quality.op10_quality_rules}
+from . import decontaminate, licenses, lines, mixing, quality, simhash, tokens, warc
+
+QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_warc": warc.op2_warc,
+    "op3_token_output": tokens.op3_token_output,
+    "op4_simhash": simhash.op4_simhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_line_dedup": lines.op9_line_dedup,
+    "op10_quality_rules": quality.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
+}
 ORACLE_SQL: dict[str, str] = {"op9_line_dedup": lines.OP9_SQL}
