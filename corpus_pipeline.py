@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import fresh_dir, table
+from emulsa.llm.common import fresh_dir, table, written
 from emulsa.llm.decontaminate import contaminated
 from emulsa.llm.mixing import mix_sources
 from emulsa.llm.quality import quality_rules
@@ -27,8 +27,9 @@ def _key(*columns: str) -> Column:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     keyed = docs.withColumn(KEY, _key("doc_id", "text", "lang"))
-    kept = quality_rules(keyed.select(F.col(KEY).alias("doc_id"), "text", "lang")).filter("kept").select(F.col("doc_id").alias(KEY))
-    return keyed.join(kept.distinct(), KEY, "left_semi").select(docs.columns)
+    # Written first: the optimizer would else spread the filter's long expression over the whole plan.
+    told = written(quality_rules(keyed.select(F.col(KEY).alias("doc_id"), "text", "lang")).select(F.col("doc_id").alias(KEY), "kept"), "quality-verdicts")
+    return keyed.join(told.filter("kept").select(KEY), KEY, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, lines, mixing, quality, simhash, tokens, warc
+from . import decontaminate, licenses, lines, mixing, pii, quality, simhash, tokens, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_warc": warc.op2_warc,
     "op3_token_output": tokens.op3_token_output,
     "op4_simhash": simhash.op4_simhash,
+    "op5_personal_data": pii.op5_personal_data,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_line_dedup": lines.op9_line_dedup,
