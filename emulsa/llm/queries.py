@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, lines, mixing, pii, quality, simhash, tokens, warc
+from . import decontaminate, licenses, lines, mixing, pii, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_personal_data": pii.op5_personal_data,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
