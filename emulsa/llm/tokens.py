@@ -33,11 +33,11 @@ MAGIC, BLOCK, END = b"TOKPACK1", 8192, 0
 DOUBLE_SPACE, CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 FILES = "file string, n_ids bigint, n_docs bigint, part int"
 #: A worker's memory of encoded pieces is emptied beyond so many.
-MEMORY = 400_000
+MEMORY = 600_000
 
 
 class Encoder:
-    """Ids of texts by a byte-level tokenizer, as little-endian uint32 bytes.
+    """Ids of texts by a byte-level tokenizer, as little-endian bytes of dtype.
 
     Such a tokenizer never joins what stands before a space between two visible characters with what follows, so texts are
     cut there and each piece is encoded once, all that are new to a batch of texts in one call. test_tokens holds this
@@ -50,6 +50,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: tasks share out the cores
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         lengths = np.zeros(self.vocabulary, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             lengths[i] = len(token)  # a byte-level token has a character for each byte
@@ -68,8 +69,17 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        head, *rest = CUT.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
+        if DOUBLE_SPACE.search(text):
+            head, *rest = CUT.split(text)
+            return [head, *[" " + x for x in rest]]
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n")):  # a line end between two visible characters stands alone, too
+            head, *rest = line.split(" ")
+            if k:
+                out.append("\n")
+            out.append(head)
+            out += [" " + x for x in rest]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(x) for x in texts]
@@ -83,21 +93,21 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encodes new pieces, hundreds joined to a text: ids are dealt out again by the bytes that they stand for."""
-        plain, odd = [], []
-        for x in new:
-            (plain if x[:1] == " " and x[1:2].strip() and x[-1:].strip() else odd).append(x)
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)] + [[x] for x in odd]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.cumsum([len(x.encode()) for x in group])
-            reached = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(reached, ends) + 1
+        plain, odd = [x for x in new if x[:1] == " " and x != " "], [x for x in new if x[:1] != " " or x == " "]
+        groups = [plain[k : k + 1024] for k in range(0, len(plain), 1024)] + [[x] for x in odd]
+        joined = ["".join(g) for g in groups]
+        for group, text, e in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
             if len(group) == 1:
                 self.known[group[0]] = ids.tobytes()
-            elif len(ids) == 0 or cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):
-                self.known.update((x, np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()) for x in group)
+                continue
+            ends = np.cumsum(list(map(len, group)) if text.isascii() else [len(x.encode()) for x in group])
+            reached = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if len(ids) == 0 or cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):
+                self.known.update((x, np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()) for x in group)
             else:
-                data, at = ids.tobytes(), (4 * cuts).tolist()
+                data, at = ids.tobytes(), (ids.itemsize * cuts).tolist()
                 self.known.update(zip(group, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
 
 
@@ -107,7 +117,7 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     if bits in (8, 16, 32):
-        return ids.astype(f"<u{bits // 8}").tobytes()
+        return ids.astype(f"<u{bits // 8}", copy=False).tobytes()
     each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
     return np.packbits(each.ravel(), bitorder="little").tobytes()
 
@@ -121,8 +131,8 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class Writer:
-    def __init__(self, out, bits: int, block: int = BLOCK):
-        self.out, self.bits, self.block = out, bits, block
+    def __init__(self, out, bits: int, dtype: str = "<u4", block: int = BLOCK):
+        self.out, self.bits, self.dtype, self.block = out, bits, np.dtype(dtype), block
         self.held, self.n_held, self.n_ids, self.offsets, self.starts, self.docs = [], 0, 0, [], [], []
         out.write(MAGIC + np.array([bits, block], "<u4").tobytes())
         self.at = len(MAGIC) + 8
@@ -131,13 +141,13 @@ class Writer:
         self.starts.append(self.n_ids)
         self.docs.append(doc_id)
         self.held.append(ids)
-        self.n_held += len(ids) // 4
-        self.n_ids += len(ids) // 4
+        self.n_held += len(ids) // self.dtype.itemsize
+        self.n_ids += len(ids) // self.dtype.itemsize
         if self.n_held >= 16 * self.block:
             self._flush(self.block)
 
     def _flush(self, least: int) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.frombuffer(b"".join(self.held), self.dtype)
         k = 0
         while len(ids) - k >= max(least, 1):
             data = pack(ids[k : k + self.block], self.bits)
@@ -204,8 +214,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, place: str, in_file_order: boo
     dealt = docs.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "text").withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encoder, part = None, None, 0
-        end = np.array([END], "<u4").tobytes()
+        writer, encoder, part, end = None, None, 0, b""
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
@@ -218,7 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, place: str, in_file_order: boo
                         store.create_dir(path, recursive=True)
                         name = f"part-{p:06d}-{uuid.uuid4().hex}.tok"
                         out = store.open_output_stream(f"{path}/{name}")
-                        writer = Writer(out, bits_for(encoder.vocabulary))
+                        writer, end = Writer(out, bits_for(encoder.vocabulary), encoder.dtype), np.array([END], encoder.dtype).tobytes()
                     writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
@@ -231,7 +240,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, place: str, in_file_order: boo
 def read_tokens(files: DataFrame, place: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, file of every document in the files; start counts the ids of all documents before it."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).repartition("file")
+    placed = files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    placed = placed.repartition(max(1, files.count()))  # a number that is given is not coalesced: rows are few, what they name is large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pafs.FileSystem.from_uri(place)

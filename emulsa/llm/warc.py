@@ -108,7 +108,9 @@ def write_warc(pages: DataFrame, place: str, least_bytes: int = 0) -> DataFrame:
 def read_warc(index: DataFrame, place: str, with_payload: bool = True) -> DataFrame:
     """The records of the index rows given, as RECORDS; payload_digest and payload_bytes of responses are those of the bytes read."""
     dealt = index.select("file", "offset", "length", "url", F.floor(F.col("offset") / RANGE).alias("part"))
-    dealt = dealt.repartition("file", "part").sortWithinPartitions("file", "offset")
+    # Index rows are small beside what they name, so the number of tasks is given, or they would be coalesced into one.
+    n = index.agg(F.coalesce(F.ceil(F.sum("length") / RANGE), F.lit(1))).first()[0]
+    dealt = dealt.repartition(max(1, int(n)), "file", "part").sortWithinPartitions("file", "offset")
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
