@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import points
+from . import frames, points, renders
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [points]
+MODULES = [points, frames, renders]
 
 
 def queries() -> dict[str, Query]:
