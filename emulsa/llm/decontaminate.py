@@ -5,8 +5,8 @@ position of a document are joined with those of the benchmark items; around each
 and a window of TOKENS tokens (the whole item if it is shorter) in which SIMILARITY of the tokens agree, at their places,
 verifies it. A substituted token costs only the seeds that count it, so masks of different shapes bridge substitutions.
 
-The benchmark's side is broadcast only up to MAX_BROADCAST seeds (a count decides); then nothing is shuffled but the best
-similarity of each (document, item) pair. Beyond that the seeds are joined without the texts.
+The benchmark's side is broadcast only up to MAX_BROADCAST seeds (a count decides); then nothing is shuffled but the different
+surroundings of hits. Beyond that the seeds are joined without the texts.
 """
 
 from __future__ import annotations
@@ -68,16 +68,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     items = benchmark.select("item_id", tokens_of(text_of()).alias("item"))
     known = written(_spread(items, "item", masks).withColumnRenamed("at", "item_at"), "benchmark-seeds")
     few = known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    bound = F.broadcast if few else (lambda df: df)
+    wanted = known.select("seed").distinct()
     rows = docs.select("doc_id", tokens_of(text_of()).alias("doc"))
-    if few:  # in one stage with the seeds, so that only rows with a hit are copied with their tokens
-        hits = _spread(rows, "doc", masks).join(F.broadcast(known), "seed")
+    if few:  # in one stage with the seeds, so that only positions with a hit are copied, with the tokens around them
+        hits = _spread(rows, "doc", masks).join(bound(wanted), "seed")
     else:  # the seeds travel without the tokens, which rows with a hit get back
         rows = rows.withColumn("row", F.xxhash64("doc_id", "doc"))
-        seeds = _spread(rows, "doc", masks).select("row", "at", "seed")
-        found = seeds.join(known.select("seed", "item_id", "item", "item_at"), "seed").drop("seed").distinct()
-        hits = found.join(rows.dropDuplicates(["row", "doc_id"]), "row")
-    diagonal = F.col("at") - F.col("item_at")
-    scored = hits.select("doc_id", "item_id", _best(F.col("doc"), F.col("item"), diagonal, F.col("item_at"), tokens).alias("similarity"))
+        hits = _spread(rows, "doc", masks).select("row", "at", "seed").join(wanted, "seed").join(rows.dropDuplicates(["row", "doc_id"]), "row")
+    before = F.least(F.col("at"), F.lit(tokens - 1))
+    around = hits.select("doc_id", "seed", before.alias("before"), F.slice("doc", F.col("at") - before + 1, F.lit(2 * tokens - 1)).alias("around"))
+    # A text that repeats itself has few different surroundings, however many places.
+    found = around.distinct().join(bound(known), "seed")
+    scored = found.select("doc_id", "item_id", _best(F.col("around"), F.col("item"), F.col("before") - F.col("item_at"), F.col("item_at"), tokens).alias("similarity"))
     # The limit comes after the aggregate: before it, it would become part of the join and take it out of the stage's code.
     return scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= similarity)
 
