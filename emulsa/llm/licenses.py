@@ -59,7 +59,8 @@ def _templates(spark: SparkSession, templates: dict[str, list[str]]) -> tuple[Da
     rows = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
     if len(rows) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
-    made = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("license"), F.lit(k).alias("template"), F.lit(t).alias("t")) for k, (n, t) in enumerate(rows)])))
+    listed = [F.struct(F.lit(n).alias("license"), F.lit(k).alias("template"), F.lit(t).alias("t")) for k, (n, t) in enumerate(rows)]
+    made = spark.range(1).select(F.inline(F.array(*listed).cast("array<struct<license:string,template:int,t:string>>")))
     made = made.select("license", "template", tokens_of(F.col("t")).alias("tokens")).select("*", _hashes(F.col("tokens")).alias("hashes"), _shingles(F.col("tokens")).alias("shingles"))
     made = written(made.filter(F.size("hashes") > 0), "license-templates")
     return made, made.agg(F.coalesce(F.max(F.size("hashes")), F.lit(0))).first()[0], sorted({h for r in made.select("hashes").collect() for h in r[0]})
