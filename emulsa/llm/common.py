@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="emulsa-")
         spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", place.rstrip("/"))  # one form for Spark and for pyarrow
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,7 @@ ranges, counted by (source, range), and a document's number is the count of the
 
 from __future__ import annotations
 
+import json
 import math
 from fractions import Fraction
 
@@ -58,11 +59,8 @@ def period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
 def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows made by the JVM alone."""
     names = [x.split()[0] for x in schema.split(",")]
-    types = [x.split()[1] for x in schema.split(",")]
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(row, names, types, strict=True)]) for row in rows]
-    if not structs:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types, strict=True)])
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    listed = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), f"array<struct<{schema.replace(' ', ':')}>>")))
 
 
 def _key(source: Column) -> Column:
