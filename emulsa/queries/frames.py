@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from emulsa.functions import colour as C
 from emulsa.functions.noise import with_noise
 from emulsa.kernels.noise import FIELD, M1, M2, MS, MX, MY
+from emulsa.kernels.marks import dust_reach, dust_sites
 from emulsa.kernels.primitives import hsv_to_rgb
+from emulsa.operators import marks as K
 from emulsa.operators import meter as M
 from emulsa.operators import neighbour as N
 from emulsa.params import ops as P
@@ -201,3 +203,18 @@ KEPT["tile_plan"] = (_tiles, """
 with s as (select max(y) + 1 as h, max(x) + 1 as w from (%s)), t as (select h, w, unnest(range(ceil(h / 32e0)::int))::int as ty from s), u as (select *, unnest(range(ceil(w / 32e0)::int))::int as tx from t),
 v as (select *, (ty * 32)::int as y_a, least(h, ty * 32 + 32)::int as y_b, (tx * 32)::int as x_a, least(w, tx * 32 + 32)::int as x_b from u)
 select ty, tx, y_a, y_b, x_a, x_b, greatest(0, y_a - 7)::int as py_a, least(h, y_b + 7)::int as py_b, greatest(0, x_a - 7)::int as px_a, least(w, x_b + 7)::int as px_b from v""" % E)
+
+
+_DUST = DEFAULTS | {"dust": 60.0, "dust_size": 20.0, "dust_irregular": 0.5}
+
+
+def _site_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = plates.events(spark, sf_dir).groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return K.site_tiles(K.dust_table(spark, _DUST), size, 32)
+
+
+_SITES = ", ".join(f"({q['k']}, {S.n(q['y'])}, {S.n(q['x'])}, {S.n(dust_reach(q, _DUST, 1.0)[-1])})" for q in dust_sites(77, 60, 0.0))
+KEPT["site_tile_join"] = (_site_tiles, f"""
+with s as (select max(y) + 1 as h, max(x) + 1 as w from ({E})), t as (select h, w, unnest(range(ceil(h / 32e0)::int))::int as ty from s), u as (select *, unnest(range(ceil(w / 32e0)::int))::int as tx from t),
+m as (select * from (values {_SITES}) as m(k, y, x, r))
+select 'events' as image_id, k, ty, tx from u join m on floor(y * h - r) < least(h, ty * 32 + 32) and ceil(y * h + r) >= ty * 32 and floor(x * w - r) < least(w, tx * 32 + 32) and ceil(x * w + r) >= tx * 32""")
