@@ -17,7 +17,7 @@ from emulsa.params.ops import clamp_supersample, schema
 from emulsa.plans.planner import Plan, plan
 from emulsa.sources.images import encoded, export_name, proxies
 
-MAX_UPLOADS, QUALITY = 12, (60, 100)
+MAX_UPLOADS = 12
 
 
 @dataclass
@@ -76,6 +76,10 @@ class Service:
             up.metered = meter(px.select("image_id", "y", "x", *[(F.col(c) / 1000).alias(c) for c in "rgb"])).persist()
         return up.metered
 
+    def source(self, key: str) -> bytes:
+        """The frame itself, as a JPEG file."""
+        return bytes(encoded(self.get(key).proxy, "jpeg").first()["bytes"])
+
     def rendered(self, key: str, values: dict, supersample=2.0, full: bool = False, reference_mp: float | None = None, lut: dict | None = None) -> DataFrame:
         up = self.get(key)
         source = up.frames if full else up.proxy
@@ -84,14 +88,14 @@ class Service:
         return render(source, p, self._metered(up, p))
 
     def preview(self, key: str, values: dict, **more) -> bytes | None:
-        """The rendered frame as a PNG file; None if a newer preview was asked for meanwhile."""
+        """The rendered frame as a JPEG file; None if a newer preview was asked for meanwhile."""
         with self._lock:
             self._ticket += 1
             mine = self._ticket
         self.spark.interruptTag("preview")
         self.spark.addTag("preview")
         try:
-            data = encoded(self.rendered(key, values, **more), "png8").first()["bytes"]
+            data = encoded(self.rendered(key, values, **more), "jpeg").first()["bytes"]
         except Exception:
             if mine != self._ticket:
                 return None
@@ -100,14 +104,14 @@ class Service:
             self.spark.removeTag("preview")
         return bytes(data) if mine == self._ticket else None
 
-    def export(self, key: str, values: dict, fmt: str = "png16", supersample=2.0, full: bool = False, **more) -> str:
+    def export(self, key: str, values: dict, fmt: str = "png16", supersample=2.0, full: bool = False, quality: int = 95, **more) -> str:
         up = self.get(key)
         job = Job(uuid.uuid4().hex, export_name(up.name, clamp_supersample(supersample), full, fmt))
         self.jobs[job.id] = job
 
         def run() -> None:
             try:
-                job.data = bytes(encoded(self.rendered(key, values, supersample, full, **more), fmt).first()["bytes"])
+                job.data = bytes(encoded(self.rendered(key, values, supersample, full, **more), fmt, quality).first()["bytes"])
                 job.status = "done"
             except Exception as e:  # the job's status tells
                 job.status, job.error = "error", str(e)

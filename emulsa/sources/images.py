@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from emulsa.kernels.primitives import downscale
 from emulsa.operators.render import FRAME, planes_of
 
-from . import png
+from . import jpeg, png
 
 MAX_BYTES, MAX_PIXELS, PROXY_EDGE = 30_000_000, 120_000_000, 2400
 # Media type, extension and bits of each export format.
 FORMATS = {"png16": ("image/png", "png", 16), "png8": ("image/png", "png", 8), "jpeg": ("image/jpeg", "jpg", 8)}
-EXPORTS = ("png16", "png8")
 
 
 def kind_of(content: Column) -> Column:
@@ -119,17 +118,16 @@ def proxies(frames: DataFrame, edge: int = PROXY_EDGE) -> DataFrame:
     return frames.select("image_id", "h", "w", "planes").mapInArrow(run, FRAME + ", scale double")
 
 
-def encoded(frames: DataFrame, fmt: str = "png16") -> DataFrame:
-    """image_id, mime, bytes of the frames as files."""
-    if fmt not in EXPORTS:
-        raise ValueError(f"no encoder for {fmt} on executors")
-    mime, _, depth = FORMATS[fmt]
+def encoded(frames: DataFrame, fmt: str = "png16", quality: int = 95) -> DataFrame:
+    """image_id, mime, bytes of the frames as files; quality (60 to 100) is for JPEG."""
+    mime, _, depth = FORMATS[fmt]  # KeyError for a format that is not listed
+    quality = min(100, max(60, quality))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 x = planes_of(b.column(3)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([mime]), pa.array([png.encode(x, depth)], pa.binary())], ["image_id", "mime", "bytes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([mime]), pa.array([jpeg.encode(x, quality) if fmt == "jpeg" else png.encode(x, depth)], pa.binary())], ["image_id", "mime", "bytes"])
 
     return frames.select("image_id", "h", "w", "planes").mapInArrow(run, "image_id string, mime string, bytes binary")
 
@@ -140,7 +138,7 @@ def export_name(name: str, supersample: float, full: bool, fmt: str) -> str:
     return f"{stem}_grain{tag}".replace(".", "_") + "." + FORMATS[fmt][1]
 
 
-def write_images(frames: DataFrame, place: str, fmt: str = "png16", supersample: float = 1.0, full: bool = False) -> DataFrame:
+def write_images(frames: DataFrame, place: str, fmt: str = "png16", supersample: float = 1.0, full: bool = False, quality: int = 95) -> DataFrame:
     """Writes each frame to a file in a folder that all executors share; image_id, file, n_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,4 +152,4 @@ def write_images(frames: DataFrame, place: str, fmt: str = "png16", supersample:
                     out.write(data)
                 yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([name]), pa.array([len(data)])], ["image_id", "file", "n_bytes"])
 
-    return encoded(frames, fmt).mapInArrow(run, "image_id string, file string, n_bytes bigint")
+    return encoded(frames, fmt, quality).mapInArrow(run, "image_id string, file string, n_bytes bigint")

@@ -3,7 +3,7 @@ import pytest
 
 from emulsa.operators.render import planes_of, render, view
 from emulsa.plans.planner import plan
-from emulsa.sources import cube, images, png, presets
+from emulsa.sources import cube, images, jpeg, png, presets
 
 
 @pytest.fixture(scope="module")
@@ -117,7 +117,7 @@ def test_service(spark, noise, tmp_path):
     key = s.upload(frames, "a.png")
     assert s.health()["ok"] and len(s.params()["params"]) == 116
     data = s.preview(key, {"intensity": 30, "halation": 0, "normalize": 1}, supersample=1)
-    assert png.decode(data).shape == (3, 37, 53)
+    assert data[:3] == b"\xff\xd8\xff" and s.source(key)[:3] == b"\xff\xd8\xff"
     job = s.jobs[s.export(key, {"intensity": 30, "halation": 0}, supersample=1)]
     for _ in range(600):
         if job.status != "running":
@@ -126,3 +126,14 @@ def test_service(spark, noise, tmp_path):
     assert job.status == "done" and job.filename == "a_grain.png" and png.decode(job.data).shape == (3, 37, 53)
     with pytest.raises(KeyError):
         s.get("unknown")
+
+
+def test_jpeg_is_read_by_another_decoder(spark, noise, tmp_path):
+    y, x = np.mgrid[0:61, 0:83]
+    cases = {"smooth": np.stack([x / 83, y / 61, (np.sin(x / 9) + 1) / 2]).astype(np.float32), "noise": noise, "flat": np.full((3, 16, 16), 0.4, np.float32)}
+    for name, v in cases.items():
+        (tmp_path / f"{name}.jpg").write_bytes(jpeg.encode(v, 95))
+    frames, rejects = images.read_images(spark, str(tmp_path))
+    got = {r.image_id.rsplit("/", 1)[-1][:-4]: planes_of(r.planes, r.h, r.w) for r in frames.collect()}
+    assert set(got) == set(cases) and rejects.count() == 0
+    assert all(np.abs(got[n] - v).mean() < 0.02 for n, v in cases.items()) and np.abs(got["flat"] - 0.4).max() < 0.005
