@@ -1,12 +1,14 @@
 """Personal data: patterns, and contexts that are learned from what the patterns find.
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by pattern. Bootstrapping: every token that
-looks like an identifier (it has a digit and MIN_LENGTH characters at least, or an @) is an instance, with the words on
-its left and right as context; instances that lie in a base span are seeds of its kind. A pattern is a kind's left word,
+looks like an identifier (it has a digit or an @, and MIN_LENGTH characters at least) is an instance, and so are runs of up to
+MAX_PARTS numeric tokens and addresses with a spelled-out at sign, with the words on the left and right as context; instances
+that are a base span are seeds of its kind. A part of a longer numeric run is judged, but is no evidence. A pattern is a kind's left word,
 right word, or both. In ROUNDS rounds patterns and instances score each other on their graph: a pattern's confidence is the mean
 score of its instances (seeds score 1, the others what they have so far) weighed by evidence, an instance's score is that of
 its best pattern; patterns under MIN_SEEDS distinct seeds or MIN_CONFIDENCE count for nothing. Instances that end at
-MIN_CONFIDENCE or more and share the shape of a seed of that kind become spans of that kind.
+MIN_CONFIDENCE or more and could be of that kind at all (LIKE, and the number of digits) become spans of that kind; of
+overlapping ones the longest.
 
 All of it is column expressions, one pass over the texts into a narrow table of instances, and aggregates by pattern; a
 frequent context is summed before it is shuffled, and only patterns that hold (a few) meet the instances again.
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, pinned, table, text_of, written
+from .common import let, pinned, table, text_of, upto, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns. Possessive groups match what plain ones would (nothing follows them that could take back a
@@ -33,6 +35,22 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.9, 7
 #: A token that may be an identifier, with the word before and after it.
 TOKEN = r"(?<![^\s])(?=[^\s]*(?:[0-9]|@))[^\s]{%d,}" % MIN_LENGTH
+#: Numeric tokens in a run are read together, so many at most.
+MAX_PARTS = 6
+NUMERIC = r"[+(\[]{0,2}[0-9][0-9().\]/+-]*+"
+RUN = rf"(?<![^\s]){NUMERIC}(?:\x20++{NUMERIC})++"
+#: Addresses whose at sign is bracketed, spelled out or between spaces.
+SPELLED = r"(?i)(?<![^\s])(?:[^\s@\[({<]++\x20?[\[({<](?:at|@)[\])}>]\x20?[^\s]++(?:\x20?[\[({<]dot[\])}>]\x20?[^\s]++|\x20dot\x20[^\s]++)*+|[\p{L}\p{N}._%+-]++\x20(?:at|@)\x20[\p{L}\p{N}-]++(?:(?:\.|\x20dot\x20)[\p{L}\p{N}-]++)++)"
+SPELLED_HINT = r"(?i)[\[({<](?:at|@)[\])}>]|\x20(?:at|@)\x20[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}]|\x20dot\x20)"
+#: What an instance of a kind can look like at all; its context decides the rest.
+LIKE = {
+    "email": r"(?i)^(?=.*\p{L}{2}[\p{L}\p{N}-]*$)[\p{L}\p{N}][\p{L}\p{N}._%+'-]*(?:\s?[\[({<](?:at|@)[\])}>]\s?|\s(?:at|@)\s|[@%#*=~!|&$^]+|[._-]at[._-])[\p{L}\p{N}][\p{L}\p{N}-]*(?:(?:\.|\s?[\[({<](?:dot|\.)[\])}>]\s?|\sdot\s)[\p{L}\p{N}-]+)*$",
+    "ip": r"^(?:[0-9]{1,3}(?:(?:[.,:;_/-]|\x20|[\[({](?:\.|dot)[\])}])[0-9]{1,3}){3}|(?=.*(?:::|[A-Fa-f]))(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4})$",
+    "card": r"^[0-9][0-9 ._/\u2013-]*[0-9]$",
+    "phone": r"^[+(\[]*[0-9][0-9() .\[\]/\u2013-]*[0-9)]$",
+}
+DIGITS = {"card": (12, 19), "phone": (MIN_LENGTH, 15)}
+MAX_LENGTH = 254
 
 
 def _digits(x: Column) -> Column:
@@ -73,22 +91,38 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), F.filter(found(text, PATTERNS[kind]), lambda x: _holds(kind, x["text"]))).otherwise(none)
 
 
-def _shape(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[0-9]+", "9"), r"\p{Lu}+", "A"), r"\p{Ll}+", "a")
+def _like(kind: str, x: Column) -> Column:
+    """Whether x could be of the kind."""
+    digits = F.length(_digits(x)).between(*DIGITS[kind]) if kind in DIGITS else F.lit(True)
+    return (F.length(x) <= MAX_LENGTH) & digits & x.rlike(LIKE[kind])
+
+
+def _parts(run: Column) -> Column:
+    """start, end, text of all stretches of 2 to MAX_PARTS numeric tokens of a run, by the number of digits that a kind allows."""
+    def stretches(p: Column) -> Column:
+        one = lambda i, n: let(F.get(p, i)["start"], lambda a: let(F.get(p, i + n - 1)["end"], lambda z: F.struct((run["start"] + a).alias("start"), (run["start"] + z).alias("end"), F.substring(run["text"], a + 1, z - a).alias("text"))))
+        return F.flatten(F.transform(F.sequence(F.lit(2), F.lit(MAX_PARTS)), lambda n: F.transform(upto(F.size(p) - n + 1), lambda i: one(i, n))))
+
+    return F.filter(let(found(run["text"], r"[^\x20]+"), stretches), lambda x: F.length(_digits(x["text"])).between(4, 19))
 
 
 def _instances(text: Column) -> Column:
-    """start, end, text, left, right of identifier-like tokens, without the punctuation around them."""
+    """start, end, text, left, right of what looks like an identifier, without the punctuation around it; whole: it is no part of a longer numeric run."""
     def one(x: Column) -> Column:
         core = F.regexp_replace(F.regexp_replace(x["text"], r"^[^\p{L}\p{N}+(]+", ""), r"[^\p{L}\p{N})]+$", "")
         start = x["start"] + F.length(x["text"]) - F.length(F.regexp_replace(x["text"], r"^[^\p{L}\p{N}+(]+", ""))
-        before = F.regexp_extract(F.substring(text, F.greatest(F.lit(1), x["start"] - 40), F.least(F.lit(41), x["start"])), r"(\S+)\s+$", 1)
-        after = F.regexp_extract(F.substring(text, x["end"] + 1, F.lit(41)), r"^\s+(\S+)", 1)
+        before = F.substring(text, F.greatest(F.lit(1), x["start"] - 40), F.least(F.lit(41), x["start"]))
+        after = F.substring(text, x["end"] + 1, F.lit(41))
         word = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]+$|^[^\p{L}\p{N}]+", ""))
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("text"), word(before).alias("left"), word(after).alias("right"))
+        part = x["text"].rlike(rf"^{NUMERIC}(?:\x20++{NUMERIC})*+$") & (before.rlike(rf"(?:^|\s){NUMERIC}\x20+$") | after.rlike(rf"^\x20+{NUMERIC}(?:\s|$)"))
+        left, right = F.regexp_extract(before, r"(\S+)\s+$", 1), F.regexp_extract(after, r"^\s+(\S+)", 1)
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("text"), word(left).alias("left"), word(right).alias("right"), (~part).alias("whole"))
 
-    none = F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string>>")
-    return F.when(text.rlike("[0-9@]"), F.transform(found(text, TOKEN), one)).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    runs = F.when(text.rlike(RUN), F.flatten(F.transform(found(text, RUN), _parts))).otherwise(none)
+    spelled = F.when(text.rlike(SPELLED_HINT), found(text, SPELLED)).otherwise(none)
+    all_of = F.concat(F.when(text.rlike("[0-9@]"), found(text, TOKEN)).otherwise(none), runs, spelled)
+    return F.transform(all_of, one)
 
 
 def _patterns(instances: DataFrame) -> DataFrame:
@@ -100,9 +134,9 @@ def _patterns(instances: DataFrame) -> DataFrame:
 def bootstrap(instances: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """kind, pattern, confidence of the patterns that hold after the last round.
 
-    instances: text, shape, left, right, kind (null if it is no seed). Repeats of one text in one context count once.
+    instances: text, left, right, kind (null if it is no seed). Repeats of one text in one context count once.
     """
-    edges = written(_patterns(instances.groupBy("text", "shape", "left", "right").agg(F.min("kind").alias("kind"))).select("text", "kind", "pattern").distinct(), "pattern-graph")
+    edges = written(_patterns(instances.groupBy("text", "left", "right").agg(F.min("kind").alias("kind"))).select("text", "kind", "pattern").distinct(), "pattern-graph")
     seeds = edges.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds)
     live = written(edges.join(seeds.select("pattern", F.col("kind").alias("of"), "seeds"), "pattern"), "pattern-graph-live")
     scores = live.filter("false").select("text", "of", F.lit(0.0).alias("score"))
@@ -129,14 +163,15 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     seen = written(seen, "pii")
     each = seen.filter(F.size("instances") > 0).dropDuplicates(["row"]).select("row", "base", F.explode_outer("instances").alias("i")).select("row", "base", "i.*")
     over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    inside = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end"))), lambda b: b["k"]))
-    each = written(each.select("row", "start", "end", "text", _shape(F.col("text")).alias("shape"), "left", "right", inside.alias("k"), (F.size(over) > 0).alias("covered")), "pii-instances")
+    inside = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] == F.col("start")) & (b["end"] == F.col("end"))), lambda b: b["k"]))
+    each = written(each.select("row", "start", "end", "text", "left", "right", "whole", inside.alias("k"), (F.size(over) > 0).alias("covered")), "pii-instances")
     named = each.withColumn("kind", F.when(F.col("k").isNotNull(), F.col("k").cast("string"))).filter("kind is not null or not covered")
-    good = bootstrap(named.select("text", "shape", "left", "right", "kind"), rounds, min_seeds, min_confidence)
-    shapes = named.filter("kind is not null").groupBy("kind", "shape").agg(F.lit(1).alias("known"))
-    new = _patterns(named.filter("kind is null")).join(good, "pattern").select("row", "start", "end", "shape", good["kind"], "confidence").join(shapes, ["kind", "shape"], "left_semi")
-    new = new.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", F.col("kind").cast("int").alias("k"))).alias("best"))
-    extra = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("best.k").alias("k"), "start", "end"))).alias("extra"))
+    good = bootstrap(named.filter("kind is not null or whole").select("text", "left", "right", "kind"), rounds, min_seeds, min_confidence)
+    could = F.array(*[_like(kind, F.col("text")) for kind in KINDS])
+    new = _patterns(named.filter("kind is null").withColumn("could", could)).join(good, "pattern").select("row", "start", "end", "could", good["kind"].cast("int").alias("k"), "confidence").filter(F.get("could", "k"))
+    new = new.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "k")).alias("best"))
+    new = new.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("best.k").alias("k")))).alias("new"))
+    extra = new.select("row", F.sort_array(F.transform(_longest(F.col("new")), lambda x: F.struct(x["k"].alias("k"), x["start"].alias("start"), x["end"].alias("end")))).alias("extra"))
     none = F.array().cast("array<struct<k:int,start:int,end:int>>")
     names = F.array(*map(F.lit, KINDS))
     out = lambda c: F.transform(c, lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -144,6 +179,18 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     return joined.select("doc_id", out(F.col("base")).alias("base"), out(F.col("extra")).alias("extra"), out(F.sort_array(F.concat("base", "extra"))).alias("spans"))
 
 
+def _longest(spans: Column) -> Column:
+    """Of spans in order of their start, those that meet no other; of two that meet, the longer, of equals the first."""
+    size = lambda x: x["end"] - x["start"]
+
+    def step(kept: Column, x: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        meets = F.coalesce(last["end"] > x["start"], F.lit(False))
+        return F.when(~meets, F.concat(kept, F.array(x))).when(size(x) > size(last), F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).otherwise(kept)
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,k:int>>"), step)
+
+
 def _tagged(spans: Column, k: int) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(k).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
 

@@ -277,6 +277,21 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert all(x in got[d].spans for d, _ in rows_ for x in got[d].base)
 
 
+def test_unseen_identifiers_come_out_whole(spark):
+    """Planted in a context that seeds have, but written in another way than any of them."""
+    seeds = [(i, f"some text here, call phone +1 (555) 010-{1000 + i} today or later") for i in range(60)]
+    seeds += [(100 + i, f"write email user{i}@site.org now") for i in range(60)] + [(200 + i, f"from host 10.20.30.{i} came nothing") for i in range(60)]
+    planted = [("phone", "call phone", x, "today") for x in ("0555 123 4567", "555-010-9999", "1 (555) 010-9999", "(0555) 12 34 56")]
+    planted += [("email", "write email", x, "now") for x in ("user77%site.org", "name [at] host", "name (at) host (dot) org", "some.name at host dot org")] + [("ip", "from host", x, "came") for x in ("10-20-30-40", "2001:db8::17")]
+    d = seeds + [(300 + i, f"so {left} {x} {right} then") for i, (_, left, x, right) in enumerate(planted)]
+    d += [(400, "the part 5550109999 was sent"), (401, "call phone yesterday2024 today"), (402, "call phone +44 20 today"), (403, "write email 12345678 now"), (404, "look at it now, and at home")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    texts = dict(d)
+    for i, (kind, _, x, _) in enumerate(planted):
+        assert [(e.kind, texts[300 + i][e.start : e.end]) for e in got[300 + i].extra] == [(kind, x)]
+    assert not any(got[i].extra for i in range(400, 405)) and not any(got[i].extra for i, _ in seeds)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
