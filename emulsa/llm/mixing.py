@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a fixed random order, are cut into blocks. With weights of w_i out of a total of Q shares,
-block k of source i may not start before slot floor(k * Q / w_i) and must be done by slot ceil((k + 1) * Q / w_i); taking
-in each slot, of all blocks that are released, the one with the earliest deadline, is a schedule in which every source is
-less than one block away from its share at every slot (Pfair on one processor). It repeats after Q slots, so one period
-is worked out for the weights, a table of Q rows whatever the input, and any block's slot follows from its number alone:
-no row waits for another.
+Each source's documents, in a fixed random order, are cut into blocks. With weights of w_i out of a total of W, block k of
+source i may not start before slot floor(k * W / w_i) and must be done by slot ceil((k + 1) * W / w_i); taking in each slot,
+of all blocks that are released, the one with the earliest deadline, is a schedule in which every source is less than one
+block away from its target at every slot (Pfair on one processor) as long as it has blocks. Weights are exact fractions and
+every source has its own; a source that has run out leaves its slots empty, which moves no other block out of its window.
+The schedule needs only the number of blocks of each source: the driver works it out block by block, a row for each BLOCK
+documents, and rows join it by source and block.
 
 Numbering the documents of a source needs no task that holds the whole source: the md5 order is cut into CELLS equal
 ranges, counted by (source, range), and a document's number is the count of the ranges before plus its place in its own.
@@ -13,47 +14,70 @@ ranges, counted by (source, range), and a document's number is the count of the
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pinned, table
+from .common import fresh_dir, pinned, table
 
-#: Documents in a block; shares in all; sources that are scheduled by themselves (the rest share one line).
-BLOCK, SHARES, MAX_SOURCES = 16, 840, 200
+#: Documents in a block; no cap on the sources that are scheduled by themselves; blocks up to which the schedule is broadcast.
+BLOCK, MAX_SOURCES, MAX_BROADCAST = 16, None, 1_000_000
 #: Ranges of the md5 order: hex digits.
 CELL_DIGITS = 3
+#: Rows of the schedule that the driver holds at a time.
+PART = 100_000
 NO_SOURCE, REST = "\0none", "\0rest"
 
 
-def shares_of(weights: dict[str, float], shares: int = SHARES) -> dict[str, int]:
-    """Whole shares in proportion to the weights, by largest remainder, one at least for each positive weight."""
-    weights = {k: Fraction(w) for k, w in weights.items() if w > 0}
-    total, free = sum(weights.values()), shares - len(weights)
-    if not weights:
-        return {}
-    if free < 0:
-        raise ValueError(f"{len(weights)} sources need {len(weights)} shares at least")
-    exact = {k: free * w / total for k, w in weights.items()}
-    out = {k: 1 + math.floor(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[: shares - sum(out.values())]:
-        out[k] += 1
-    return out
+def shares_of(weights: dict[str, float]) -> dict[str, int]:
+    """Whole shares exactly in proportion to the positive weights, a float being the decimal it is written as; without common divisor."""
+    exact = {k: Fraction(repr(w)) if isinstance(w, float) else Fraction(w) for k, w in weights.items() if w > 0}
+    scale = math.lcm(*[x.denominator for x in exact.values()])
+    whole = {k: int(x * scale) for k, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {k: x // common for k, x in whole.items()}
 
 
-def period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, k, release, deadline, slot) of one period of sum(shares) slots: earliest deadline first among released blocks, ties by name."""
+def schedule(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, k, release, deadline, slot) of the first blocks[source] blocks of each source: earliest deadline first among released blocks, ties by name."""
     q = sum(shares.values())
-    done, out = dict.fromkeys(shares, 0), []
-    for slot in range(q):
-        released = [(-(-(done[s] + 1) * q // w), s) for s, w in shares.items() if done[s] < w and done[s] * q // w <= slot]
-        deadline, s = min(released)
-        out.append((s, done[s], done[s] * q // shares[s], deadline, slot))
-        done[s] += 1
-    return out
+    coming = [(0, s, 0) for s in shares if blocks.get(s, 0) > 0]
+    released, slot = [], 0
+    heapq.heapify(coming)
+    while coming or released:
+        if not released:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            release, s, k = heapq.heappop(coming)
+            heapq.heappush(released, (-(-(k + 1) * q // shares[s]), s, k, release))
+        deadline, s, k, release = heapq.heappop(released)
+        yield s, k, release, deadline, slot
+        if k + 1 < blocks[s]:
+            heapq.heappush(coming, ((k + 1) * q // shares[s], s, k + 1))
+        slot += 1
+
+
+def period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The schedule of one period of sum(shares) slots."""
+    return list(schedule(shares, shares))
+
+
+def _slots(spark: SparkSession, rows: Iterator[tuple[str, int, int, int, int]]) -> tuple[DataFrame, int, int]:
+    """The schedule as a written table, the last slot in use (-1 if none), the number of rows. The driver holds PART rows at a time."""
+    place, last, n = fresh_dir(spark, "mix-slots"), -1, 0
+    schema = "line string,block bigint,r bigint,d bigint,t bigint"
+    while (part := list(islice(rows, PART))) or not n:
+        _literal(spark, part, schema).write.mode("append").parquet(place)
+        last, n = max([last, *[x[4] for x in part]]), n + len(part)
+        if not part:
+            break
+    return spark.read.schema(schema).parquet(place), last, n
 
 
 def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -67,17 +91,6 @@ def _key(source: Column) -> Column:
     return F.coalesce(source, F.lit(NO_SOURCE))
 
 
-def even_weights(docs: DataFrame, power: float = 0.5) -> dict[str | None, float]:
-    """Weights by the number of documents to a power, for the MAX_SOURCES largest sources; all others share what is left."""
-    counts = docs.groupBy("source").count()
-    top = counts.orderBy(F.desc("count"), "source").limit(MAX_SOURCES).collect()
-    weights = {r["source"]: float(r["count"]) ** power for r in top}
-    rest = counts.agg(F.sum(F.pow("count", F.lit(power)))).first()[0] if len(top) == MAX_SOURCES else None
-    if rest and (left := rest - sum(weights.values())) > 1e-6 * rest:
-        weights[REST] = left
-    return weights
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """docs and n: the number of each row in its line (column "line"), from 0, by md5 order of doc_id ("draw"); equal draws in any order."""
     docs = docs.withColumn("cell", F.substring("draw", 1, CELL_DIGITS))
@@ -100,27 +113,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     spark = docs.sparkSession
     kinds = {"doc_id": "bigint", "source": "string"} | {c: dict(docs.dtypes)[c] for c in carry or [] if c not in ("doc_id", "source")}
     docs = pinned(docs, kinds)
-    if weights is None:
-        weights = even_weights(docs)
-    shares = shares_of({NO_SOURCE if k is None else k: w for k, w in weights.items()})
-    slots = _literal(spark, [(s, n, k, r, d, t) for s, k, r, d, t in period(shares) for n in [shares[s]]], "line string,share bigint,k bigint,r bigint,d bigint,t bigint")
-    q = max(1, sum(shares.values()))
-    named = [s for s in shares if s != REST]
-    known = F.when(_key(F.col("source")).isin(*named), _key(F.col("source"))) if named else F.lit(None).cast("string")
-    line = F.coalesce(known, F.lit(REST))
+    counts = {NO_SOURCE if r["source"] is None else r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    shares = shares_of({k: math.sqrt(n) for k, n in counts.items()} if weights is None else {NO_SOURCE if k is None else k: w for k, w in weights.items()})
+    slots, last, n_blocks = _slots(spark, schedule(shares, {s: -(-n // block) for s, n in counts.items()}))
+    # All sources without weight share one line, in order of their draws.
     extra = [c for c in kinds if c not in ("doc_id", "source")]
-    packed = docs.select("doc_id", "source", F.struct(*extra).alias("carried") if extra else F.lit(None).alias("carried"), line.alias("line"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"))
+    packed = docs.select("doc_id", "source", F.struct(*extra).alias("carried") if extra else F.lit(None).alias("carried"), _key(F.col("source")).alias("line"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("draw"))
+    if set(counts) - set(shares):
+        known = _literal(spark, [(s,) for s in sorted(shares)], "line string").withColumn("known", F.lit(True))
+        packed = packed.join(F.broadcast(known), "line", "left").withColumn("line", F.when(F.col("known"), F.col("line")).otherwise(F.lit(REST))).drop("known")
     rows = numbered(packed).withColumn("block", F.floor(F.col("n") / block).cast("bigint"))
-    widths = _literal(spark, sorted(shares.items()), "line string,share bigint")
-    rows = rows.join(F.broadcast(widths), "line", "left").withColumn("k", F.pmod("block", "share")).withColumn("turn", F.floor(F.col("block") / F.col("share")))
-    placed = rows.join(F.broadcast(slots.drop("share")), ["line", "k"], "left")  # SHARES rows
-    at = lambda x: (F.col("turn") * q + F.col(x)).cast("bigint")
-    placed = placed.select("doc_id", "source", "carried", "n", "block", at("r").alias("release"), at("d").alias("deadline"), at("t").alias("slot"))
-    if REST in shares:
-        tail = F.lit(None).cast("bigint")
-    else:  # after any slot of any line
-        last = placed.agg(F.coalesce(F.max("slot"), F.lit(-1))).first()[0] if weights and set(shares) else -1
-        tail = (last + 1) * block + F.col("n")
+    placed = rows.join(F.broadcast(slots) if n_blocks <= MAX_BROADCAST else slots, ["line", "block"], "left")
+    placed = placed.select("doc_id", "source", "carried", "n", "block", F.col("r").alias("release"), F.col("d").alias("deadline"), F.col("t").alias("slot"))
+    tail = (last + 1) * block + F.col("n")  # after any slot of any line
     position = F.coalesce(F.col("slot") * block + F.col("n") % block, tail).cast("bigint")
     return placed.select("doc_id", "source", "block", "release", "deadline", "slot", position.alias("position"), *[F.col("carried")[c].alias(c) for c in extra])
 

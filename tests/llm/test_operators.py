@@ -82,6 +82,21 @@ def test_many_sources_share_a_line(spark, monkeypatch):
     assert len({r.position for r in got}) == 60
 
 
+@pytest.mark.parametrize(("weights", "blocks"), [({"a": 0.9999, "b": 0.0001}, {"a": 3000, "b": 2}), ({"a": 1 / 3} | {str(i): 2 / 3 / 200 for i in range(200)}, None), ({str(i): (1_000_000 if i == 0 else 100_000) ** 0.5 for i in range(50)}, None)])
+def test_schedule_holds_the_given_weights(weights, blocks):
+    blocks = blocks or dict.fromkeys(weights, 100)
+    w = np.array([weights[s] for s in sorted(weights)]) / sum(weights.values())
+    total, done, place = np.array([blocks[s] for s in sorted(weights)]), np.zeros(len(w)), {s: i for i, s in enumerate(sorted(weights))}
+    slots = set()
+    for s, k, release, deadline, slot in mixing.schedule(mixing.shares_of(weights), blocks):
+        assert release <= slot < deadline and slot not in slots and k == done[place[s]]
+        slots.add(slot)
+        done[place[s]] += 1
+        off = np.abs(done - w * (slot + 1))[done < total]  # while a source has blocks
+        assert not len(off) or off.max() < 1 + 1e-9
+    assert (done == total).all()
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
