@@ -97,6 +97,16 @@ def test_schedule_holds_the_given_weights(weights, blocks):
     assert (done == total).all()
 
 
+def test_every_source_is_scheduled_by_its_own_weight(spark):
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, F.col("id") % 1000).otherwise(1000).cast("string").alias("source"))
+    got = mixing.mix_sources(d, block=2).collect()
+    total = 1000 * 2**0.5 + 1000**0.5
+    assert len({r.position for r in got}) == 3000 and len({r.source for r in got if r.block == 0}) == 1001
+    for r in got:
+        w = (1000 if r.source == "1000" else 2) ** 0.5 / total
+        assert abs(r.release - r.block / w) < 1.01 and abs(r.deadline - (r.block + 1) / w) < 1.01 and r.release <= r.slot < r.deadline
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
