@@ -3,10 +3,12 @@
 Every document gets a histogram of its characters over a few classes and one of the most frequent function words of
 its language. The references are the mean histograms of all documents of the language that pass the plain rules and
 are long enough (each document counts the same). A document is rejected if a Jensen-Shannon distance (base 2, square root of the divergence) to its
-reference is over the limit; histograms of short documents are too noisy to judge, so a minimum length guards both.
+reference is over the limit. Histograms of short documents are noisy: the expected divergence by chance alone grows with one
+over the number of words, so under MIN_JUDGED_WORDS words the squared limits widen by a noise over that number. Character
+classes have a reference in every language, function words in those of LANGUAGES.
 
-Plan: one pass over the texts writes a narrow table of counts; references are an aggregate of four rows at most
-(one for each of LANGUAGES), so they may be broadcast whatever the input's size.
+Plan: one pass over the texts writes a narrow table of counts; references are an aggregate of a row for each
+language, broadcast up to MAX_BROADCAST of them.
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ LANGUAGES = tuple(COMMON_WORDS)
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
-#: Histograms are judged from so many words on.
+#: From so many words on histograms make references and the limits are the plain ones; below, squared limits widen by noise * (1 / words - 1 / MIN_JUDGED_WORDS).
 MIN_JUDGED_WORDS = 120
+CHAR_NOISE, WORD_NOISE = 2.5, 0.85
+MAX_BROADCAST = 100_000
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.25
 
 
 def _language() -> Column:
-    """Null for a language without a list."""
-    lang = F.lower(F.col("lang"))
-    return F.when(lang.isin(*LANGUAGES), lang)
+    """In lower case; null is a language of its own."""
+    return F.lower(F.coalesce("lang", F.lit("")))
 
 
 def repeated_words(words: Column) -> Column:
@@ -87,29 +90,33 @@ def _shares(counts: Column, total: Column) -> Column:
 def _distance(p: Column, q: Column) -> Column:
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     each = F.zip_with(p, q, lambda x, y: (term(x, (x + y) / 2) + term(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x)))
+    return F.when(each.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))))
 
 
 def quality_rules(docs: DataFrame, min_judged_words: int = MIN_JUDGED_WORDS, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
-    Null texts are empty: no words, base_failed. Distances are null for documents that are too short and for null or
-    unlisted languages, which have no reference; such documents stand or fall by the plain rules. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are ignored.
+    Null texts are empty: no words, base_failed. Distances are null for documents without words and where the language
+    has no reference (no document of min_judged_words words passes the plain rules; no list of function words), where a document stands or falls by
+    the other rules. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are ignored.
     """
     counts = written(features(docs), "quality")
     shares = counts.select(
         "*", _shares(F.col("classes"), F.col("word_chars")).alias("p_char"), _shares(F.col("commons"), F.col("n_words")).alias("p_word"),
     )
     n_char, n_word = 5, max(map(len, COMMON_WORDS.values())) + 1
-    judged = shares.filter(F.col("language").isNotNull() & ~F.col("base_failed") & (F.col("n_words") >= min_judged_words))
+    judged = shares.filter(~F.col("base_failed") & (F.col("n_words") >= min_judged_words))
     refs = judged.groupBy("language").agg(
         F.array(*[F.avg(F.get("p_char", F.lit(k))) for k in range(n_char)]).alias("r_char"),
-        F.array(*[F.avg(F.get("p_word", F.lit(k))) for k in range(n_word)]).alias("r_word"),
+        F.when(F.col("language").isin(*LANGUAGES), F.array(*[F.avg(F.get("p_word", F.lit(k))) for k in range(n_word)])).alias("r_word"),
     )
-    out = shares.join(F.broadcast(refs), "language", "left")  # four rows at most
-    long_enough = F.col("n_words") >= min_judged_words
-    out = out.withColumn("char_distance", F.when(long_enough, _distance(F.col("p_char"), F.col("r_char")))).withColumn("word_distance", F.when(long_enough, _distance(F.col("p_word"), F.col("r_word"))))
-    odd = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
+    refs = written(refs, "quality-references")
+    out = shares.join(F.broadcast(refs) if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else refs, "language", "left")
+    some = F.col("n_words") > 0
+    out = out.withColumn("char_distance", F.when(some, _distance(F.col("p_char"), F.col("r_char")))).withColumn("word_distance", F.when(some, _distance(F.col("p_word"), F.col("r_word"))))
+    short = F.greatest(F.lit(0.0), 1 / F.greatest(F.col("n_words"), F.lit(1)) - 1 / F.lit(max(1, min_judged_words)))
+    max_char, max_word = [F.sqrt(F.lit(limit**2) + noise * short) for limit, noise in ((max_char_distance, CHAR_NOISE), (max_word_distance, WORD_NOISE))]
+    odd = (F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~(F.col("base_failed") | odd)).alias("kept"), "char_distance", "word_distance")
 
 

@@ -486,6 +486,18 @@ def test_quality_odd(odd, none):
     assert quality.quality_rules(none).collect() == []
 
 
+def test_short_junk_and_junk_of_any_language_is_judged(spark):
+    rng = np.random.default_rng(3)
+    listed = quality.COMMON_WORDS["en"]
+    prose = lambda n: " ".join(str(rng.choice(listed)) if rng.random() < 0.4 else "".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)) + "."
+    junk = lambda n: " ".join("".join(rng.choice(list("0123456789;:=+"), 6)) for _ in range(n))
+    d = [(i, prose(200), ("en", "pl")[i % 2]) for i in range(40)] + [(100 + i, prose(60 + i), ("en", "pl")[i % 2]) for i in range(40)]
+    d += [(200 + i, junk(n), lang) for i, (n, lang) in enumerate([(50, "en"), (100, "en"), (50, "pl"), (200, "PL")])]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(d, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and {i for i, r in got.items() if not r.kept} == set(range(200, 204))
+    assert got[1].word_distance is None and got[1].char_distance is not None
+
+
 # The pipeline ----------------------------------------------------------------------------------------------------------
 
 
