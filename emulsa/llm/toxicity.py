@@ -2,8 +2,8 @@
 
 Each token is a word vector (words that the sample has in MIN_DOCS documents, the rest share one) and the mean of vectors of
 its character n-grams (hashed); a GRU reads a window of tokens in both directions, attention pools the states, a logistic
-unit scores the window. A document's score is that of its highest window; all windows of WINDOW tokens every STRIDE are scored,
-so every token is seen by two. Training, in numpy on the driver, is by that same maximum: in each epoch a document gives the
+unit scores the window. A document's score is that of its highest window; all overlapping windows of WINDOW tokens are scored,
+one from every token on. Training, on windows every TRAIN_STRIDE tokens, in numpy on the driver, is by that same maximum: in each epoch a document gives the
 window that now scores highest (a toxic one) or that window and a random one (a clean one).
 
 The sample is bounded: SAMPLE labelled rows of the learning folds (crc32(doc_id as text) mod 5 is not 0), taken in order of a
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pinned, table
 
 SAMPLE, SAMPLE_CHARS, FOLDS = 2_000, 6_000_000, 5
-WINDOW, STRIDE = 32, 16
+WINDOW, TRAIN_STRIDE = 32, 16
 D_WORD, D_CHAR, HIDDEN, BUCKETS = 12, 12, 8, 16384
 MIN_DOCS, EPOCHS, BATCH, RATE, SEED = 4, 8, 64, 0.01, 7
 PRIOR, DECAY = 4.0, 0.002
@@ -34,14 +34,16 @@ MAX_CHARS = 24
 
 
 def tokens_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-case runs of letters and digits; longer ones in pieces of MAX_CHARS characters, each with the last two of the piece before, so that every 3-gram is in one."""
+    step = MAX_CHARS - 2
+    return [p for w in WORD.findall(text.lower()) for p in ([w] if len(w) <= MAX_CHARS else [w[i : i + MAX_CHARS] for i in range(0, len(w) - 2, step)])]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's 3-grams, of its prefixes of 4 to 6 characters and of the whole, end to end, and where each word's begin. Of very long words the first MAX_CHARS characters count."""
+    """Buckets of each word's 3-grams, of its prefixes of 4 to 6 characters and of the whole, end to end, and where each word's begin. Words have MAX_CHARS characters at most, as tokens_of() gives them."""
     if not words:
         return np.empty(0, np.int64), np.zeros(1, np.int64)
-    marked = [f"<{w[:MAX_CHARS]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     size = np.array(list(map(len, marked)))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     first = np.cumsum(size) - size
@@ -153,9 +155,9 @@ class Model:
         return g
 
 
-def windows(n: int) -> list[int]:
-    """Where windows over n tokens begin: every STRIDE, and one that ends with the last token."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+def windows(n: int, stride: int = 1) -> list[int]:
+    """Where windows over n tokens begin: every stride, and one that ends with the last token."""
+    return [0] if n <= WINDOW else [*range(0, n - WINDOW, stride), n - WINDOW]
 
 
 class Scorer:
@@ -164,25 +166,31 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
 
-    def lay(self, docs: list[list[str]]):
-        """The words of some documents, and all their windows: index, ids, the document of each window."""
-        place: dict[str, int] = {}
-        coded = [np.array([place.setdefault(w, len(place)) for w in d], np.int64) for d in docs]
-        index = self.model.index(list(place))
-        ids, of = [], []
+    def place(self, docs: list[list[str]], stride: int = 1):
+        """The words of some documents, and their windows: index, ids of all tokens, where in them each window begins, the document of each window."""
+        ids: dict[str, int] = {}
+        coded = [np.array([ids.setdefault(w, len(ids)) for w in d], np.int64) for d in docs]
+        index = self.model.index(list(ids))
+        tokens, starts, of, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for k, d in enumerate(coded):
-            starts = np.array(windows(len(d)))
-            padded = np.concatenate([d, np.full(max(0, WINDOW - len(d)), len(place))])
-            ids.append(padded[starts[:, None] + np.arange(WINDOW)])
-            of += [k] * len(starts)
-        return index, np.concatenate(ids) if ids else np.empty((0, WINDOW), np.int64), np.array(of, np.int64)
+            begins = np.array(windows(len(d), stride), np.int64)
+            tokens += [d, np.full(max(0, WINDOW - len(d)), len(ids), np.int64)]
+            starts.append(begins + at)
+            of.append(np.full(len(begins), k, np.int64))
+            at += max(WINDOW, len(d))
+        return index, np.concatenate(tokens), np.concatenate(starts), np.concatenate(of)
+
+    def lay(self, docs: list[list[str]], stride: int = TRAIN_STRIDE):
+        """index, the ids of each window (all at once, for the bounded sample), the document of each."""
+        index, tokens, starts, of = self.place(docs, stride)
+        return index, tokens[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.empty((0, WINDOW), np.int64), of
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        index, ids, of = self.lay([tokens_of(t) for t in texts])
+        index, tokens, starts, of = self.place([tokens_of(t) for t in texts])
         x = self.model.inputs(index)
         out = np.zeros(len(texts), np.float32)
-        for lo in range(0, len(ids), 4096):
-            np.maximum.at(out, of[lo : lo + 4096], self.model.forward(x, ids[lo : lo + 4096]))
+        for lo in range(0, len(starts), 4096):
+            np.maximum.at(out, of[lo : lo + 4096], self.model.forward(x, tokens[starts[lo : lo + 4096, None] + np.arange(WINDOW)]))
         return out
 
 

@@ -389,6 +389,29 @@ def test_every_token_is_in_a_window():
         assert {i for a in toxicity.windows(n) for i in range(a, a + toxicity.WINDOW)} >= set(range(n))
 
 
+def test_no_character_of_a_long_token_is_lost():
+    for n in (1, 23, 24, 25, 26, 46, 47, 48, 49, 500):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.tokens_of(w)
+        assert all(len(p) <= toxicity.MAX_CHARS for p in parts) and parts[0] + "".join(p[2:] for p in parts[1:]) == w
+        assert {w[i : i + 3] for i in range(n - 2)} <= {p[i : i + 3] for p in parts for i in range(len(p) - 2)}
+    model = toxicity.Model({}, np.random.default_rng(2))
+    model.p["char"] *= 10
+    plain, hidden = "x" * 60, "x" * 40 + "vile" + "x" * 16
+    a, b = toxicity.Scorer(model).scores([plain, hidden])
+    assert a != b
+
+
+def test_the_highest_of_all_windows_counts():
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(50)]
+    model = toxicity.Model({w: i + 1 for i, w in enumerate(vocabulary)}, rng)
+    model.p["word"] *= 20
+    texts = [list(rng.choice(vocabulary, n)) for n in (5, 40, 100)]
+    each = lambda t: max(toxicity.Scorer(model).scores([" ".join(t[a : a + toxicity.WINDOW])])[0] for a in range(max(1, len(t) - toxicity.WINDOW + 1)))
+    assert np.allclose(toxicity.Scorer(model).scores([" ".join(t) for t in texts]), [each(t) for t in texts], atol=1e-5)
+
+
 def test_toxicity_learns(spark, odd, none):
     rng = np.random.default_rng(1)
     plain = [f"w{i}" for i in range(60)]
