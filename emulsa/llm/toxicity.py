@@ -1,13 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Each token is a word vector (words that the sample has in MIN_DOCS documents, the rest share one) and the mean of vectors of
-its character n-grams (hashed); a GRU reads a window of tokens in both directions, attention pools the states, a logistic
-unit scores the window. A document's score is that of its highest window; all overlapping windows of WINDOW tokens are scored,
-one from every token on. Training, on windows every TRAIN_STRIDE tokens, in numpy on the driver, is by that same maximum: in each epoch a document gives the
-window that now scores highest (a toxic one) or that window and a random one (a clean one).
+its character n-grams (hashed). A GRU reads the text in both directions and gives each token a state; attention pools the
+states of a window of WINDOW tokens, a logistic unit scores the window. All overlapping windows are scored, one from every
+token on, and the highest is the document's score.
 
-The sample is bounded: SAMPLE labelled rows of the learning folds (crc32(doc_id as text) mod 5 is not 0), taken in order of a
-hash, toxic ones first up to half. Scoring is a pass over the texts in Arrow batches with the model (under 2 MB) as a closure.
+A token's state is read from the segment of WINDOW tokens that it is in and the whole segment before (forwards) or after
+(backwards), so every state has WINDOW to 2 * WINDOW tokens of context, texts of any length are read in batches of equal
+rows, and windows share the states of their tokens. Training, in numpy on the driver, is by the same maximum: in each epoch a
+document gives the window that now scores highest (a toxic one) or that window and a random one (a clean one).
+
+The sample is bounded: SAMPLE labelled rows of the learning folds (crc32(doc_id as text) mod 5 is not 0), toxic ones up to
+half. Scoring is a pass over the texts in Arrow batches with the model (under 2 MB) as a closure.
 """
 
 from __future__ import annotations
@@ -19,15 +23,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pinned, table
 
-SAMPLE, SAMPLE_CHARS, FOLDS = 2_000, 6_000_000, 5
-WINDOW, TRAIN_STRIDE = 32, 16
+#: The bound of the sample: rows, characters in all, characters of one text (longer ones teach nothing; all are scored).
+SAMPLE, SAMPLE_CHARS, MAX_SAMPLE_CHARS, FOLDS = 2_000, 6_000_000, 300_000, 5
+WINDOW = 32
+#: Segments that are read at a time.
+ROWS = 4096
 D_WORD, D_CHAR, HIDDEN, BUCKETS = 12, 12, 8, 16384
-MIN_DOCS, EPOCHS, BATCH, RATE, SEED = 4, 8, 64, 0.01, 7
+MIN_DOCS, EPOCHS, BATCH, RATE, SEED = 4, 5, 64, 0.01, 7
 PRIOR, DECAY = 4.0, 0.002
 WORD = re.compile(r"[^\W_]+")
 MAX_CHARS = 24
@@ -35,8 +42,10 @@ MAX_CHARS = 24
 
 def tokens_of(text: str) -> list[str]:
     """Lower-case runs of letters and digits; longer ones in pieces of MAX_CHARS characters, each with the last two of the piece before, so that every 3-gram is in one."""
-    step = MAX_CHARS - 2
-    return [p for w in WORD.findall(text.lower()) for p in ([w] if len(w) <= MAX_CHARS else [w[i : i + MAX_CHARS] for i in range(0, len(w) - 2, step)])]
+    step, words = MAX_CHARS - 2, WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= MAX_CHARS:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= MAX_CHARS else [w[i : i + MAX_CHARS] for i in range(0, len(w) - 2, step)])]
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +73,14 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[order].astype(np.int64), np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
 
 
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """out[rows] += values, where rows repeat."""
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        out[rows[order[first]]] += np.add.reduceat(values[order], first, axis=0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -92,37 +109,42 @@ class Model:
             out[:-1, D_WORD:] = np.add.reduceat(self.p["char"][buckets], at[:-1], axis=0) / np.diff(at)[:, None]
         return out
 
-    def forward(self, x: np.ndarray, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Scores of windows ids (n, WINDOW); x: inputs() of the words. keep: gets what backward() needs."""
-        n, length = ids.shape
-        mask = (ids < len(x) - 1).astype(np.float32)
-        states = np.empty((length, n, 2 * HIDDEN), np.float32)
-        steps = {}
+    def states(self, x: np.ndarray, ids: np.ndarray, steps: dict | None = None) -> np.ndarray:
+        """States (WINDOW, n, 2 * HIDDEN) of the middle third of ids (n, 3 * WINDOW); x: inputs() of the words. steps: gets what backward() needs."""
+        n, width = ids.shape
+        out = np.empty((WINDOW, n, 2 * HIDDEN), np.float32)
+        real = ids < len(x) - 1
         for way in "fb":
             projected = x @ self.p[f"W{way}"] + self.p[f"B{way}"]
             u, h = self.p[f"U{way}"], np.zeros((n, HIDDEN), np.float32)
+            u_zr, u_new = u[:, : 2 * HIDDEN], u[:, 2 * HIDDEN :]
             part = slice(0, HIDDEN) if way == "f" else slice(HIDDEN, None)
-            for t in range(length) if way == "f" else range(length - 1, -1, -1):
+            for t in range(2 * WINDOW) if way == "f" else range(width - 1, WINDOW - 1, -1):
                 g = projected[ids[:, t]]
-                zr = _sigmoid(g[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
-                z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                new = np.tanh(g[:, 2 * HIDDEN :] + (r * h) @ u[:, 2 * HIDDEN :])
-                m = mask[:, t, None]
-                if keep is not None:
+                zr = _sigmoid(g[:, : 2 * HIDDEN] + h @ u_zr)
+                z, r = zr[:, :HIDDEN] * real[:, t, None], zr[:, HIDDEN:]  # padding changes no state
+                new = np.tanh(g[:, 2 * HIDDEN :] + (r * h) @ u_new)
+                if steps is not None:
                     steps[way, t] = (h, z, r, new)
-                h = h + m * z * (new - h)
-                states[t, :, part] = h
-        e = states @ self.p["a"] + (mask.T - 1) * 1e4
-        w = np.exp(e - e.max(axis=0))
-        w /= w.sum(axis=0)
+                h = h + z * (new - h)
+                if WINDOW <= t < 2 * WINDOW:
+                    out[t - WINDOW, :, part] = h
+        return out
+
+    def forward(self, x: np.ndarray, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Scores of the windows in the middle third of ids (n, 3 * WINDOW)."""
+        steps = {} if keep is not None else None
+        states = self.states(x, ids, steps)
+        real = (ids[:, WINDOW : 2 * WINDOW] < len(x) - 1).T
+        w = np.exp(np.clip(states @ self.p["a"], -30, 30)) * real
+        w /= np.maximum(w.sum(axis=0), 1e-30)
         pooled = np.einsum("tn,tnk->nk", w, states)
-        score = _sigmoid(pooled @ self.p["v"] + self.p["c"][0])
         if keep is not None:
-            keep += [mask, states, steps, w, pooled]
-        return score
+            keep += [states, steps, w, pooled]
+        return _sigmoid(pooled @ self.p["v"] + self.p["c"][0])
 
     def backward(self, x: np.ndarray, ids: np.ndarray, index, kept: list, d_logit: np.ndarray) -> dict[str, np.ndarray]:
-        mask, states, steps, w, pooled = kept
+        states, steps, w, pooled = kept
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         g["v"], g["c"][0] = pooled.T @ d_logit, d_logit.sum()
         d_pooled = d_logit[:, None] * self.p["v"]
@@ -131,33 +153,68 @@ class Model:
         g["a"] = np.einsum("tn,tnk->k", d_e, states)
         d_states = w[:, :, None] * d_pooled + d_e[:, :, None] * self.p["a"]
         d_x = np.zeros_like(x)
-        length = ids.shape[1]
+        width = ids.shape[1]
         for way in "fb":
             u, part = self.p[f"U{way}"], slice(0, HIDDEN) if way == "f" else slice(HIDDEN, None)
-            d_projected, d_h = np.zeros((len(x), 3 * HIDDEN), np.float32), np.zeros((ids.shape[0], HIDDEN), np.float32)
-            for t in range(length - 1, -1, -1) if way == "f" else range(length):
+            d_projected, d_h, d_gates = np.zeros((len(x), 3 * HIDDEN), np.float32), np.zeros((ids.shape[0], HIDDEN), np.float32), []
+            places = range(2 * WINDOW - 1, -1, -1) if way == "f" else range(WINDOW, width)
+            for t in places:
                 h, z, r, new = steps[way, t]
-                d_h = d_h + d_states[t, :, part]
-                m = mask[:, t, None]
-                d_new, d_z = d_h * m * z * (1 - new**2), d_h * m * (new - h) * z * (1 - z)
+                if WINDOW <= t < 2 * WINDOW:
+                    d_h = d_h + d_states[t - WINDOW, :, part]
+                d_new, d_z = d_h * z * (1 - new**2), d_h * (new - h) * z * (1 - z)
                 d_rh = d_new @ u[:, 2 * HIDDEN :].T
                 d_r = d_rh * h * r * (1 - r)
                 d_zr = np.concatenate([d_z, d_r], axis=1)
                 g[f"U{way}"][:, : 2 * HIDDEN] += h.T @ d_zr
                 g[f"U{way}"][:, 2 * HIDDEN :] += (r * h).T @ d_new
-                np.add.at(d_projected, ids[:, t], np.concatenate([d_zr, d_new], axis=1))
-                d_h = d_h * (1 - m * z) + d_rh * r + d_zr @ u[:, : 2 * HIDDEN].T
-            g[f"W{way}"], g[f"B{way}"] = x.T @ d_projected, d_projected[:-1].sum(axis=0) + d_projected[-1]
+                d_gates.append(np.concatenate([d_zr, d_new], axis=1))
+                d_h = d_h * (1 - z) + d_rh * r + d_zr @ u[:, : 2 * HIDDEN].T
+            _add_rows(d_projected, ids[:, list(places)].T.ravel(), np.concatenate(d_gates))
+            g[f"W{way}"], g[f"B{way}"] = x.T @ d_projected, d_projected.sum(axis=0)
             d_x += d_projected @ self.p[f"W{way}"].T
         rows, buckets, at = index
-        np.add.at(g["word"], rows, d_x[:-1, :D_WORD])
-        np.add.at(g["char"], buckets, np.repeat(d_x[:-1, D_WORD:] / np.diff(at)[:, None], np.diff(at), axis=0))
+        _add_rows(g["word"], rows, d_x[:-1, :D_WORD])
+        _add_rows(g["char"], buckets, np.repeat(d_x[:-1, D_WORD:] / np.diff(at)[:, None], np.diff(at), axis=0))
         return g
 
 
-def windows(n: int, stride: int = 1) -> list[int]:
-    """Where windows over n tokens begin: every stride, and one that ends with the last token."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, stride), n - WINDOW]
+class Laid:
+    """Documents side by side: each begins on a segment of WINDOW tokens and is filled up with padding."""
+
+    def __init__(self, model: Model, docs: list[list[str]]):
+        ids: dict[str, int] = {}
+        coded = [np.array([ids.setdefault(w, len(ids)) for w in d], np.int64) for d in docs]
+        self.index, self.pad = model.index(list(ids)), len(ids)
+        self.n = np.array(list(map(len, coded)), np.int64)
+        self.segments = np.maximum(1, -(-self.n // WINDOW))
+        self.at = np.cumsum(self.segments * WINDOW) - self.segments * WINDOW
+        self.tokens = np.full(int(self.segments.sum()) * WINDOW, self.pad, np.int64)
+        for a, c in zip(self.at.tolist(), coded, strict=True):
+            self.tokens[a : a + len(c)] = c
+        #: Of each document the last place where a window begins.
+        self.last = self.at + np.maximum(0, self.n - WINDOW)
+
+    def around(self, starts: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """For windows that begin at starts, in documents of: their tokens with WINDOW tokens on either side, padding outside the document."""
+        place = starts[:, None] + np.arange(-WINDOW, 2 * WINDOW)
+        inside = (place >= self.at[of][:, None]) & (place < (self.at + self.n)[of][:, None])
+        return np.where(inside, self.tokens[np.where(inside, place, 0)], self.pad)
+
+    def logits(self, model: Model) -> np.ndarray:
+        """Of the window that begins at each place; minus infinity where none does."""
+        x, of = model.inputs(self.index), np.repeat(np.arange(len(self.n)), self.segments)
+        weight, value = np.zeros(len(self.tokens) + WINDOW, np.float32), np.zeros(len(self.tokens) + WINDOW, np.float32)
+        for lo in range(0, len(of), ROWS):
+            ids = self.around(np.arange(lo, min(lo + ROWS, len(of))) * WINDOW, of[lo : lo + ROWS])
+            states = model.states(x, ids).transpose(1, 0, 2).reshape(-1, 2 * HIDDEN)
+            part = slice(lo * WINDOW, lo * WINDOW + len(states))
+            weight[part] = np.exp(np.clip(states @ model.p["a"], -30, 30)) * (self.tokens[part] < self.pad)
+            value[part] = weight[part] * (states @ model.p["v"])
+        sums = lambda y: np.lib.stride_tricks.sliding_window_view(y, WINDOW)[: len(self.tokens)].sum(axis=1)
+        out = sums(value) / np.maximum(sums(weight), 1e-30) + model.p["c"][0]
+        out[np.arange(len(out)) > np.repeat(self.last, self.segments * WINDOW)] = -np.inf
+        return out
 
 
 class Scorer:
@@ -166,32 +223,11 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
 
-    def place(self, docs: list[list[str]], stride: int = 1):
-        """The words of some documents, and their windows: index, ids of all tokens, where in them each window begins, the document of each window."""
-        ids: dict[str, int] = {}
-        coded = [np.array([ids.setdefault(w, len(ids)) for w in d], np.int64) for d in docs]
-        index = self.model.index(list(ids))
-        tokens, starts, of, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-        for k, d in enumerate(coded):
-            begins = np.array(windows(len(d), stride), np.int64)
-            tokens += [d, np.full(max(0, WINDOW - len(d)), len(ids), np.int64)]
-            starts.append(begins + at)
-            of.append(np.full(len(begins), k, np.int64))
-            at += max(WINDOW, len(d))
-        return index, np.concatenate(tokens), np.concatenate(starts), np.concatenate(of)
-
-    def lay(self, docs: list[list[str]], stride: int = TRAIN_STRIDE):
-        """index, the ids of each window (all at once, for the bounded sample), the document of each."""
-        index, tokens, starts, of = self.place(docs, stride)
-        return index, tokens[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.empty((0, WINDOW), np.int64), of
-
     def scores(self, texts: list[str]) -> np.ndarray:
-        index, tokens, starts, of = self.place([tokens_of(t) for t in texts])
-        x = self.model.inputs(index)
-        out = np.zeros(len(texts), np.float32)
-        for lo in range(0, len(starts), 4096):
-            np.maximum.at(out, of[lo : lo + 4096], self.model.forward(x, tokens[starts[lo : lo + 4096, None] + np.arange(WINDOW)]))
-        return out
+        if not texts:
+            return np.empty(0, np.float32)
+        laid = Laid(self.model, [tokens_of(t) for t in texts])
+        return _sigmoid(np.maximum.reduceat(laid.logits(self.model), laid.at))
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -214,31 +250,27 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     for d, l in zip(docs, labels, strict=True):
         (by_gram1 if l else by_gram0)[np.unique(grams(list(set(d)))[0])] += 1
     model.p["char"][:, 0] = np.clip(odds(by_gram1, by_gram0), -3, 5) / 3
-    scorer = Scorer(model)
-    index, ids, of = scorer.lay(docs)
-    first = np.searchsorted(of, np.arange(len(docs)))
-    counts = np.diff(np.append(first, len(of)))
+    laid = Laid(model, docs)
     weight = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0)).astype(np.float32)
     m1, m2, step = {k: np.zeros_like(v) for k, v in model.p.items()}, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
-    best = first + (rng.random(len(docs)) * counts).astype(int)
+    peak = lambda told: np.array([a + int(told[a : a + max(1, n)].argmax()) for a, n in zip(laid.at, laid.n, strict=True)])
     for epoch in range(epochs):
-        x = model.inputs(index)
-        s = np.concatenate([model.forward(x, ids[lo : lo + 4096]) for lo in range(0, len(ids), 4096)])
         if epoch:
-            best = np.array([a + int(s[a : a + c].argmax()) for a, c in zip(first, counts, strict=True)])
-        else:  # the window with the most telling words
-            told = np.append(x[:-1, 0] + x[:-1, D_WORD], -9)[ids].max(axis=1)
-            best = np.array([a + int(told[a : a + c].argmax()) for a, c in zip(first, counts, strict=True)])
-        other = first + (rng.random(len(docs)) * counts).astype(int)
-        chosen = np.concatenate([best, other[y == 0]])
+            best = peak(laid.logits(model))
+        else:  # around the most telling word
+            x = model.inputs(laid.index)
+            best = np.clip(peak(np.append(x[:-1, 0] + x[:-1, D_WORD], -9)[laid.tokens]) - WINDOW // 2, laid.at, laid.last)
+        other = laid.at + (rng.random(len(docs)) * (laid.last - laid.at + 1)).astype(int)
+        chosen, of = np.concatenate([best, other[y == 0]]), np.concatenate([np.arange(len(docs)), np.flatnonzero(y == 0)])
         targets, weights = np.concatenate([y, y[y == 0]]), np.concatenate([weight, weight[y == 0] / 2])
         order = rng.permutation(len(chosen))
         for lo in range(0, len(order), BATCH):
             k = order[lo : lo + BATCH]
-            some, back = np.unique(ids[chosen[k]], return_inverse=True)
-            some = some[some < len(index[0])]
+            some, back = np.unique(laid.around(chosen[k], of[k]), return_inverse=True)
+            some, back = (some[:-1], back) if some[-1] == laid.pad else (some, back)  # padding comes last, as in inputs()
+            index = laid.index
             part_index = (index[0][some], np.concatenate([index[1][index[2][i] : index[2][i + 1]] for i in some]) if len(some) else index[1][:0], np.cumsum([0, *(index[2][some + 1] - index[2][some])]))
-            part_ids, kept = back.reshape(len(k), WINDOW), []
+            part_ids, kept = back.reshape(len(k), 3 * WINDOW), []
             x = model.inputs(part_index)
             p = model.forward(x, part_ids, kept)
             grads = model.backward(x, part_ids, part_index, kept, ((p - targets[k]) * weights[k] / len(k)).astype(np.float32))
@@ -254,21 +286,22 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most sample labelled rows outside fold 0, at most half of them toxic if there are as many others; SAMPLE_CHARS characters at most, shortest first beyond that."""
+    """Texts and labels of at most sample labelled rows outside fold 0, at most half of them toxic if there are as many others.
+
+    Taken in order of a hash of doc_id: rows of each label up to the number, then, of those, texts of up to MAX_SAMPLE_CHARS
+    characters that still fit into SAMPLE_CHARS. A doc_id that is labelled twice is toxic if one label says so; of several
+    texts of one doc_id the first in alphabetical order counts. Null doc_ids, labels and texts, and labels other than 0 and 1, teach nothing.
+    """
     labels = pinned(labels, {"doc_id": "bigint", "toxic": "int"}).filter("toxic in (0, 1) and doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
-    picked = None
+    labels, picked = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), None
     for kind, n in ((1, sample // 2), (0, sample - sample // 2)):
-        some = labels.filter(F.col("toxic") == kind).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        some = labels.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.unionByName(some)
-    rows = pinned(docs, {"doc_id": "bigint", "text": "string"}).join(F.broadcast(picked), "doc_id").filter("text is not null").select("doc_id", "text", "toxic")
-    rows = rows.withColumn("n", F.length("text")).filter(F.col("n") <= SAMPLE_CHARS // 20).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    texts, out, total = [], [], 0
-    for r in rows:
-        if total + r["n"] <= SAMPLE_CHARS:
-            texts.append(r["text"])
-            out.append(r["toxic"])
-            total += r["n"]
-    return texts, out
+    rows = pinned(docs, {"doc_id": "bigint", "text": "string"}).join(F.broadcast(picked), "doc_id").withColumn("n", F.length("text")).filter(F.col("n") <= MAX_SAMPLE_CHARS)
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "n")).alias("t")).select("doc_id", "toxic", "t.*")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # sample rows at most
+    rows = rows.withColumn("upto", F.sum("n").over(before)).filter(F.col("upto") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
 def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
