@@ -50,17 +50,6 @@ def none(spark):
 # 1 ---------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 1, "d": 0.2}, {"x": 1}, {str(i): i + 1 for i in range(40)}])
-def test_schedule_is_less_than_a_block_off(weights):
-    shares = mixing.shares_of(weights)
-    q, done = sum(shares.values()), Counter()
-    for t, (s, _, release, deadline, slot) in enumerate(mixing.period(shares)):
-        assert slot == t and release <= t < deadline
-        done[s] += 1
-        assert all(abs(done[x] - w * (t + 1) / q) < 1 for x, w in shares.items())
-    assert done == Counter(shares)
-
-
 def test_mix(docs, rows):
     got = mixing.mix_sources(docs, block=4).orderBy("position").collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and len({r.position for r in got}) == len(rows)
@@ -75,13 +64,6 @@ def test_mix_odd(odd, none):
     assert mixing.mix_sources(none).collect() == []
 
 
-def test_many_sources_share_a_line(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
-    d = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 10).cast("string").alias("source"))
-    got = mixing.mix_sources(d, block=2).collect()
-    assert len({r.position for r in got}) == 60
-
-
 @pytest.mark.parametrize(("weights", "blocks"), [({"a": 0.9999, "b": 0.0001}, {"a": 3000, "b": 2}), ({"a": 1 / 3} | {str(i): 2 / 3 / 200 for i in range(200)}, None), ({str(i): (1_000_000 if i == 0 else 100_000) ** 0.5 for i in range(50)}, None)])
 def test_schedule_holds_the_given_weights(weights, blocks):
     blocks = blocks or dict.fromkeys(weights, 100)
@@ -100,13 +82,33 @@ def test_schedule_holds_the_given_weights(weights, blocks):
 def test_every_source_is_scheduled_by_its_own_weight(spark):
     d = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, F.col("id") % 1000).otherwise(1000).cast("string").alias("source"))
     got = mixing.mix_sources(d, block=2).collect()
-    total = 1000 * 2**0.5 + 1000**0.5
+    total = 1000 * 1 + 31
     assert len({r.position for r in got}) == 3000 and len({r.source for r in got if r.block == 0}) == 1001
     for r in got:
-        w = (1000 if r.source == "1000" else 2) ** 0.5 / total
+        w = (31 if r.source == "1000" else 1) / total
         assert abs(r.release - r.block / w) < 1.01 and abs(r.deadline - (r.block + 1) / w) < 1.01 and r.release <= r.slot < r.deadline
 
 
+@pytest.mark.parametrize(("weights", "counts"), [({"a": 5, "b": 3, "c": 1, "d": 0.2}, {"a": 400, "b": 150, "c": 90, "d": 40}), ({"a": 10_000, "b": 1}, {"a": 900, "b": 5}), ({"a": 2, "b": 2}, {"a": 301, "b": 4})])
+def test_periods_go_on_as_they_began(spark, weights, counts):
+    """Rows are within a block of the given weights at every slot, over many periods."""
+    d = spark.createDataFrame([(i, s) for s, n in counts.items() for i in range(n)], "doc_id long, source string")
+    got, total = mixing.mix_sources(d, weights, block=2).collect(), sum(weights.values())
+    assert len({r.position for r in got}) == sum(counts.values()) and len({r.slot for r in got}) == sum(-(-n // 2) for n in counts.values())
+    for s, n in counts.items():
+        own = {r.block: r for r in got if r.source == s}
+        assert sorted(own) == list(range(-(-n // 2))) and all(r.release <= r.slot < r.deadline for r in own.values())
+        assert all(r.release == int(r.block * total / weights[s] + 1e-9) and -1e-9 < r.deadline - (r.block + 1) * total / weights[s] < 1 for r in own.values())
+
+
+def test_the_driver_works_out_a_period(spark, monkeypatch):
+    d = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
+    written, stored = [], mixing._stored
+    monkeypatch.setattr(mixing, "_stored", lambda *a: written.append(stored(*a)) or written[-1])
+    got = mixing.mix_sources(d, {"0": 0.5, "1": 0.3, "2": 0.2}, block=4)
+    assert [n for _, n in written] == [10, 3] and got.select(F.countDistinct("position"), F.max("deadline")).first()[:] == (60_000, 25_000)
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
