@@ -36,6 +36,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+#: Keys with more than one row in so many count as hot; there are at most so many of them.
+HOT = 1_000
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left (a written table) joined (inner or left) with right, which has one row a key.
+
+    A key that holds more than a HOT-th of left's rows would be one task's; such keys, HOT at most, are joined by broadcast,
+    so left's rows of them stay where they are.
+    """
+    n = left.count()
+    heavy = written(left.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, n // HOT)).select(key), "hot-keys")
+    if heavy.isEmpty():
+        return left.join(right, key, how)
+    heavy = F.broadcast(heavy)
+    hot = right.join(heavy, key, "left_semi")
+    some = left.join(heavy, left[key].eqNullSafe(heavy[key]), "left_semi").join(F.broadcast(hot), key, how)
+    rest = left.join(heavy, left[key].eqNullSafe(heavy[key]), "left_anti").join(right, key, how)
+    return some.unionByName(rest)
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits of hash of the columns, nulls told apart from values."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("\0none")) for c in columns]
+    return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit(1), *told, *[F.length(x) for x in told]).alias("b"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,6 +80,18 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def running(sizes: Column) -> Column:
+    """Sums of an array's elements (int) up to each; in two levels, so that a long array is not copied for each of its elements."""
+    one = lambda x: F.aggregate(x, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, y: F.struct((a["at"] + y).alias("at"), F.concat(a["all"], F.array(a["at"] + y)).alias("all")), lambda a: a["all"])
+
+    def parts(x: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x)))).cast("int")
+        cut = F.transform(upto(F.ceil(F.size(x) / width).cast("int")), lambda i: one(F.slice(x, i * width + 1, width)))
+        return let(cut, lambda c: let(one(F.transform(c, lambda p: F.get(p, F.size(p) - 1))), lambda ends: F.flatten(F.transform(c, lambda p, i: F.transform(p, lambda y: y + F.coalesce(F.get(ends, i - 1), F.lit(0)))))))
+
+    return let(sizes, parts)
+
+
 def upto(n: Column) -> Column:
     """0..n-1, empty if n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))

@@ -319,6 +319,77 @@ def test_unseen_identifiers_come_out_whole(spark):
     assert not any(got[i].extra for i in range(400, 405)) and not any(got[i].extra for i, _ in seeds)
 
 
+def plain_bootstrap(instances, rounds):
+    """instances: text, left, right, k, could. Patterns that hold: (pattern, k): confidence."""
+    edges, seed, could = defaultdict(set), {}, {}
+    for text, left, right, k, c in instances:
+        could[text] = c
+        if k is not None:
+            seed[text] = min(seed.get(text, k), k)
+        if left and right:
+            edges[f"b\0{left}\0{right}"].add(text)
+        if left:
+            edges[f"l\0{left}"].add(text)
+        if right:
+            edges[f"r\0{right}"].add(text)
+    accepted, held = {}, {}
+    for _ in range(rounds):
+        held = {}
+        for p, texts in edges.items():
+            for k in range(len(pii.ALL_KINDS)):
+                scores = [1.0 for t in texts if seed.get(t) == k] + [accepted[t][0] for t in texts if t in accepted and accepted[t][1] == k]
+                if len(scores) >= pii.MIN_SEEDS and (c := sum(scores) / len(texts) * len(scores) / (len(scores) + 0.1)) >= pii.MIN_CONFIDENCE:
+                    held[p, k] = c
+        accepted = {}
+        for (p, k), c in held.items():
+            for t in edges[p]:
+                if t not in seed and could[t][k]:
+                    accepted[t] = max(accepted.get(t, (c, k)), (c, k))
+    return held
+
+
+def test_patterns_score_as_a_plain_graph(spark):
+    rng = np.random.default_rng(8)
+    texts = [(f"t{i}", int(rng.integers(0, 2)) if i < 60 else None, [bool(x) for x in rng.random(5) < 0.9]) for i in range(90)]
+    rows_ = []
+    for _ in range(900):
+        t, k, c = texts[rng.integers(0, 90)]
+        place = rng.integers(0, 6) + 10 * (k if k is not None else rng.integers(0, 2)) * (rng.random() < 0.97)
+        rows_.append((t, f"l{place}", f"r{rng.integers(0, 5)}" if rng.random() < 0.8 else "", k, c))
+    d = spark.createDataFrame(rows_, "text string, left string, right string, k int, could array<boolean>")
+    for rounds in (1, 2, 4):
+        want = plain_bootstrap(rows_, rounds)
+        got = {(r.pattern, r.k): r.confidence for r in pii.bootstrap(d, rounds).collect()}
+        assert want and got == pytest.approx(want)
+
+
+def test_what_was_found_induces_patterns_that_find_more(spark):
+    """No seed stands after "ring desk": only what was found beside "call phone" teaches that pattern."""
+    d = [(i, f"please call phone +1 (555) 010-{1000 + i} today") for i in range(900)]
+    d += [(1000 + i, f"please call phone 0555 123 {4000 + i} today") for i in range(30)] + [(2000 + i, f"then ring desk 0555 123 {4000 + i} soon") for i in range(30)]
+    d += [(3000, "then ring desk 0777 321 9876 soon"), (3001, "then ring desk tomorrow2024 soon"), (3002, "the part 0777 321 9876 is here")]
+    texts = dict(d)
+    told = lambda rounds: {r.doc_id: [(x.kind, texts[r.doc_id][x.start : x.end]) for x in r.extra] for r in pii.personal_data(spark.createDataFrame(d, "doc_id long, text string"), rounds).collect() if r.extra}
+    one, two = told(1), told(2)
+    assert one == {1000 + i: [("phone", f"0555 123 {4000 + i}")] for i in range(30)}
+    assert two == one | {2000 + i: [("phone", f"0555 123 {4000 + i}")] for i in range(30)} | {3000: [("phone", "0777 321 9876")]}
+
+
+def test_secrets(spark):
+    d = [(i, f'some token = "{zlib.crc32(str(i).encode()):08x}{i:08d}abcdef" here') for i in range(30)] + [(50 + i, f'use bearer {zlib.crc32(str(i).encode()):08x}{i:08d}abcdef now') for i in range(30)]
+    d += [(100, "use bearer 0123456789abcdef99 now"), (101, "API_KEY: AAAABBBBCCCC1111DDDD"), (102, "token = shortone1"), (103, "password = allletterswithoutdigits")]
+    texts = dict(d)
+    got = {r.doc_id: [(x.kind, texts[r.doc_id][x.start : x.end]) for x in r.extra] for r in pii.personal_data(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert all(got[i] == [("secret", texts[i].split('"')[1])] for i in range(30)) and all(got[50 + i] == [("secret", texts[50 + i].split()[2])] for i in range(30))
+    assert got[100] == [("secret", "0123456789abcdef99")] and got[101] == [("secret", "AAAABBBBCCCC1111DDDD")] and not got[102] and not got[103]
+
+
+def test_long_texts_of_many_identifiers(spark):
+    d = spark.createDataFrame([(1, "a1.2.3.4 mail me@x.org é " * 20_000)], "doc_id long, text string")
+    r = pii.personal_data(d).first()
+    assert len(r.base) == 40_000 and (r.base[-1].kind, r.base[-1].start) == ("ip", 19_999 * 25 + 1)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
