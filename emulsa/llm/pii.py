@@ -166,7 +166,11 @@ def bootstrap(instances: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_S
     context count once; a text that is a seed of several kinds is one of the first.
     """
     graph = _patterns(instances.groupBy("text", "left", "right").agg(F.min("k").alias("k"), F.first("could").alias("could")))
-    edges = written(graph.groupBy("text", "pattern").agg(F.min("k").alias("k"), F.first("could").alias("could")), "pattern-graph")
+    edges = graph.groupBy("text", "pattern").agg(F.min("k").alias("k"), F.first("could").alias("could"))
+    # A secret is known by where it was assigned, and is the same elsewhere; the other kinds are known by their form.
+    secrets = written(instances.filter(F.col("k") == len(KINDS)).groupBy("text").agg(F.min("k").alias("of")), "known-secrets")
+    edges = edges.join(F.broadcast(secrets) if secrets.count() <= MAX_BROADCAST else secrets, "text", "left")
+    edges = written(edges.select("text", "pattern", F.coalesce("k", "of").alias("k"), "could"), "pattern-graph")
     kinds = range(len(ALL_KINDS))
     seeds = [F.count(F.when(F.col("k") == k, 1)).alias(f"seeds{k}") for k in kinds]
     stats = written(edges.groupBy("pattern").agg(F.count("*").alias("n"), *seeds).filter(F.col("n") >= min_seeds), "pattern-stats")
