@@ -209,12 +209,12 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SE
     each = some.select("row", F.explode_outer("instances").alias("i")).filter("i is not null").select("row", "i.start", "i.end", "i.text", "i.left", "i.right", "i.whole", F.lit(None).cast("int").alias("k"))
     known = some.select("row", F.explode_outer(F.concat("base", "secret")).alias("b")).filter("b is not null").select("row", "b.start", "b.end", *[F.lit(None).cast(t).alias(c) for c, t in (("text", "string"), ("left", "string"), ("right", "string"), ("whole", "boolean"))], "b.k")
     # Spans and instances of a document in one order: what equals a span is a seed, what meets one otherwise is left out.
-    order = Window.partitionBy("row").orderBy("start", "end")
+    order, back = Window.partitionBy("row").orderBy("start", "end"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"))
     spanned = F.col("k").isNotNull()
     at = each.unionByName(known).select(
         "*", F.min("k").over(order.rangeBetween(Window.currentRow, Window.currentRow)).alias("inside"),
         F.max(F.when(spanned, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("reached"),
-        F.min(F.when(spanned, F.col("start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("coming"),
+        F.min(F.when(spanned, F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("coming"),
     )
     covered = F.coalesce(F.col("reached") > F.col("start"), F.lit(False)) | F.coalesce(F.col("coming") < F.col("end"), F.lit(False))
     could = F.array(*[_like(kind, F.col("text")) for kind in ALL_KINDS])
