@@ -426,9 +426,30 @@ def test_decontaminate(spark):
         decontaminate.MAX_BROADCAST = kept
 
 
+def test_every_allowed_substitution_is_found(spark):
+    """Items of 1 to 16 tokens, each with all placements of as many substitutions as 0.8 allows; one more is too many."""
+    from itertools import combinations
+
+    items, rows_, want = [], [], set()
+    for n in [*range(1, 15), 16]:
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        size = min(n, 13)
+        for more in (0, 1):
+            for gone in combinations(range(size), size // 5 + more):
+                if len(gone) == size or more and len(rows_) % 3:
+                    continue
+                text = ["a", "b", "c", *[x if k not in gone else f"o{k}" for k, x in enumerate(item[:size])], "d", "e"]
+                rows_.append((len(rows_), " ".join(text)))
+                if not more:
+                    want.add((len(rows_) - 1, n))
+    got = decontaminate.contaminated(spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
 def test_decontaminate_odd(spark, odd, none):
-    b = spark.createDataFrame([(None, None), (1, ""), (2, "word " * 20), (2, "word " * 20), (3, "short item")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, b).collect()} == {(5, 2)}
+    b = spark.createDataFrame([(None, None), (1, ""), (2, "word " * 20), (2, "word " * 20), (3, "short item"), (4, "ONE, two three")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, b).collect()} == {(5, 2), (None, 4)}
     assert decontaminate.contaminated(none, b).collect() == [] and decontaminate.contaminated(odd, b.limit(0)).collect() == []
 
 
