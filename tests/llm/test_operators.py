@@ -585,7 +585,27 @@ def test_licenses(spark, docs, rows, odd, none):
         own = grams(plain_tokens(t))
         want |= {(k, n) for n, ts in licenses.TEMPLATES.items() for x in ts if len(grams(plain_tokens(x)) & own) >= 0.8 * len(grams(plain_tokens(x)))}
     assert {(r.doc_id, r.license) for r in licenses.license_scan(d).collect()} == want
-    assert licenses.license_scan(odd).collect() == [] and licenses.license_scan(none).collect() == [] and licenses.license_scan(odd, {}).collect() == []
+    assert licenses.license_scan(odd).collect() == [] and licenses.license_scan(none).collect() == [] and licenses.license_scan(odd, {}).collect() == [] and licenses.license_scan(odd, {"x": ["too short"]}).collect() == []
+
+
+def test_many_long_templates(spark, monkeypatch):
+    """600 templates of 2,000 tokens as a table: whole ones, ones with every 40th word changed, halves; joined rather than broadcast too."""
+    rng = np.random.default_rng(6)
+    vocabulary = np.array([f"w{i}" for i in range(4000)])
+    texts = {f"t{i}": list(rng.choice(vocabulary, 2000)) for i in range(600)}
+    templates = spark.createDataFrame([(n, " ".join(t)) for n, t in texts.items()], "license string, text string").repartition(4)
+    pad = lambda n: list(rng.choice(vocabulary, n))
+    d = [(i, pad(int(rng.integers(0, 900))) + texts[f"t{i}"] + pad(300), True) for i in range(8)]
+    d += [(100 + i, pad(100) + [x if k % 40 else "other" for k, x in enumerate(texts[f"t{i}"])] + pad(50), True) for i in range(8)]
+    d += [(200 + i, texts[f"t{i}"][:900], False) for i in range(8)]
+    docs_ = spark.createDataFrame([(i, " ".join(t)) for i, t, _ in d], "doc_id long, text string").repartition(4)
+    want = {(i, f"t{i % 100}") for i, _, whole in d if whole}
+    assert {(r.doc_id, r.license) for r in licenses.license_scan(docs_, templates).collect()} == want
+    monkeypatch.setattr(licenses, "MAX_BROADCAST", 10)
+    assert {(r.doc_id, r.license) for r in licenses.license_scan(docs_.filter("doc_id < 102"), templates).collect()} == {x for x in want if x[0] < 102}
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", 100)
+    with pytest.raises(ValueError):
+        licenses.license_scan(docs_, templates)
 
 
 # 9 ---------------------------------------------------------------------------------------------------------------------
