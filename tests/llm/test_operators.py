@@ -678,7 +678,43 @@ def test_short_junk_and_junk_of_any_language_is_judged(spark):
     d += [(200 + i, junk(n), lang) for i, (n, lang) in enumerate([(50, "en"), (100, "en"), (50, "pl"), (200, "PL")])]
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(d, "doc_id long, text string, lang string")).collect()}
     assert not any(r.base_failed for r in got.values()) and {i for i, r in got.items() if not r.kept} == set(range(200, 204))
-    assert got[1].word_distance is None and got[1].char_distance is not None
+    assert got[1].word_distance is not None and got[1].char_distance is not None
+
+
+def test_distances_are_those_of_plain_histograms(spark):
+    """In a language with a list, one without, and none; a language of few documents has no reference."""
+    import math
+    import unicodedata
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "e", "i")] + ["The", "of", "and", "x1", "y-z", "$9"]
+    make = lambda n: " ".join(rng.choice(vocabulary, n, p=(w := 1 / np.arange(2, len(vocabulary) + 2)) / w.sum()))
+    d = [(i, make(int(rng.integers(30, 300))), (None, "en", "pl", "fi")[i % 4 if i < 160 else 3 if i == 160 else i % 3]) for i in range(0, 300) if i % 4 != 3 or i == 3 or i > 160]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(d, "doc_id long, text string, lang string")).collect()}
+    lists = {"en": quality.COMMON_WORDS["en"]}
+    for lang in ("", "pl", "fi"):
+        have = Counter(w for _, t, g in d if (g or "") == lang for w in {w.lower() for w in words(t)} if w.isalpha())
+        lists[lang] = sorted(have, key=lambda w: (-have[w], w))[: quality.N_LEARNED]
+
+    def shares(t, lang):
+        w, kind = words(t), lambda c: unicodedata.category(c)
+        chars = [sum(kind(c) == "Lu" for c in t), *[sum(kind(c)[0] == k for c in t) for k in "NPS"]]
+        both = [[x / sum(map(len, w)) for x in chars], [w.count(x) / len(w) for x in lists[lang]]]
+        return [[*p, max(0.0, 1 - sum(p))] for p in both]
+
+    told = {i: shares(t, g or "") for i, t, g in d}
+    for lang in lists:
+        own = [i for i, t, g in d if (g or "") == lang]
+        good = [i for i in own if not got[i].base_failed and got[i].n_words >= 120]
+        for i in own:
+            for k, (distance, limit, noise) in enumerate([(got[i].char_distance, 0.28, 2.5), (got[i].word_distance, 0.25, 0.85)]):
+                if len(good) < quality.MIN_DOCS:
+                    assert distance is None
+                    continue
+                ref = np.mean([told[j][k] for j in good], axis=0)
+                want = math.sqrt(max(0.0, sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(told[i][k], ref, strict=True)) / 2))
+                assert abs(distance - want) < 1e-6
+                assert got[i].base_failed or not got[i].kept or distance <= math.sqrt(limit**2 + noise * max(0, 1 / got[i].n_words - 1 / 120))
 
 
 # The pipeline ----------------------------------------------------------------------------------------------------------
