@@ -5,7 +5,7 @@ that every document has costs one sketch a task. Lines whose estimate is within
 (distinct pairs of line and site, then a sum); the others stand by their estimate. Lines on SITES sites or more are
 boilerplate and go from every document.
 
-A document is found again by its doc_id and text hash: rows alike in both lose the same lines.
+A document is found again by 128 bits of hash of its doc_id and text: rows alike in both lose the same lines.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pinned, table, text_of, written
+from .common import join_split, let, pinned, row_key, table, text_of, upto, written
 
 #: Distinct sites from which a line is boilerplate; the fewest words of a line that is judged.
 SITES, MIN_WORDS = 5, 3
@@ -41,15 +41,16 @@ def line_dedup(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS,
     without doc_id or site are like any other. An empty table gives an empty result. Other columns are ignored.
     """
     docs = pinned(docs, {"doc_id": "bigint", "text": "string", site: "string"}).select("doc_id", "text", F.col(f"`{site}`").alias("site"))
-    docs = docs.withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("doc_id", "text").alias("h")))
+    docs = docs.withColumn("row", row_key("doc_id", "text"))
     each = docs.select("row", "site", F.posexplode_outer(F.split(text_of(), "\n")).alias("at", "line"))
     line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     each = each.select("row", "site", "at", line.alias("line")).filter(F.col("line").rlike(r"^(?:[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+|$)){%d}" % min_words))
     lines = written(each.select("row", "site", "at", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line", F.length("line")).alias("b")).alias("key")), "lines")
     found = boilerplate(lines, sites)
     gone = lines.join(found, "key", "left_semi").groupBy("row").agg(F.collect_set("at").alias("gone"))
-    text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = docs.join(gone, "row", "left")
+    # By hash set, whatever the number of lines.
+    text = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(F.array_except(upto(F.size(x)), F.col("gone")), lambda i: F.get(x, i)), "\n"))
+    out = join_split(docs, written(gone, "lines-gone"), "row", "left")
     return out.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(text).alias("text"),

@@ -19,4 +19,4 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_line_dedup": lines.OP9_SQL, "op10_quality_rules": quality.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_warc": warc.OP2_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_line_dedup": lines.OP9_SQL, "op10_quality_rules": quality.OP10_SQL}

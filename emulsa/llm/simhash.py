@@ -9,6 +9,9 @@ More fingerprints need longer keys. Any c of c + 3 segments (c >= 2) hold a choi
 all, which gives keys of 24 bits (c = 2) and 31 bits (c = 3); segment_plan() picks c from the number of fingerprints. All
 plans find the same links.
 
+A key has 16 bytes and a fingerprint 64, 256 or 640 keys by c, so the join deals 1, 4 or 10 KB for each distinct fingerprint:
+at 10 billion of them 100 TB, which is what exact links between so many cost with keys this long.
+
 Copies cost nothing: links are sought between distinct fingerprints only. Components come from alternating large-star and
 small-star steps on tables in the shared folder; the driver sees two numbers a step.
 """
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pinned, table, written
+from .common import join_split, pinned, table, written
 
 SHINGLE, SEED, BITS, MAX_BITS = 4, 42, 64, 4
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -130,10 +133,12 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
     edges = written(links(classes.select("fp"), segment_plan(classes.count())), "links")
     stars = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    labelled = classes.join(stars, "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_fp = labelled.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Nodes of a component with the smallest doc_id of each: roots are nodes too. Large components and groups of copies are split.
+    nodes = written(stars.union(stars.select("root", "root").distinct()).join(classes, "fp").select("fp", "root", "doc_id"), "component-nodes")
+    least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = written(join_split(nodes, least, "root").select("fp", "component_id", F.lit(True).alias("linked")), "components")
+    by_fp = classes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return join_split(fps, by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

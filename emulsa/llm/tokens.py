@@ -19,7 +19,7 @@ import sys
 import types
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ from .common import fresh_dir, pinned, table, written
 MAGIC, BLOCK, END = b"TOKPACK1", 8192, 0
 DOUBLE_SPACE, CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 FILES = "file string, n_ids bigint, n_docs bigint, part int"
-#: A worker's memory of encoded pieces is emptied beyond so many.
-MEMORY = 600_000
+#: A worker's memory of encoded pieces: a new one is begun beyond so many bytes, beside the last. Longer pieces are not kept.
+MEMORY, LONG = 96 << 20, 256
+#: What a piece costs beside its characters and ids.
+OVERHEAD = 160
 
 
 class Encoder:
@@ -41,7 +43,8 @@ class Encoder:
 
     Such a tokenizer never joins what stands before a space between two visible characters with what follows, so texts are
     cut there and each piece is encoded once, all that are new to a batch of texts in one call. test_tokens holds this
-    against whole texts.
+    against whole texts. What is remembered is bounded in bytes; pieces of over LONG characters (lines of unspaced scripts,
+    encoded data) are encoded each time.
     """
 
     def __init__(self, path: str):
@@ -57,6 +60,7 @@ class Encoder:
         self.lengths = lengths
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def shared(cls, path: str) -> Encoder:
@@ -83,14 +87,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(x) for x in texts]
-        if len(self.known) >= MEMORY:
-            self.known, self.older = {}, self.known
+        if self.held >= MEMORY:
+            self.known, self.older, self.held = {}, self.known, 0
         new = set().union(*cut).difference(self.known)
-        self.known.update((x, self.older[x]) for x in new.intersection(self.older))
-        self._learn([x for x in new if x not in self.older])
-        get = self.known.__getitem__
+        again = new.intersection(self.older)
+        self._keep((x, self.older[x]) for x in again)
+        fresh = [x for x in new if x not in again]
+        long = [x for x in fresh if len(x) > LONG]
+        self._learn([x for x in fresh if len(x) <= LONG])
+        once = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(long, self.tokenizer.encode_batch_fast(long, add_special_tokens=False), strict=True)} if long else {}
+        get = (lambda x: self.known[x] if x in self.known else once[x]) if once else self.known.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
+    def _keep(self, pairs: Iterable[tuple[str, bytes]]) -> None:
+        for piece, ids in pairs:
+            self.known[piece] = ids
+            self.held += len(piece) + len(ids) + OVERHEAD
+
     def _learn(self, new: list[str]) -> None:
         """Encodes new pieces, hundreds joined to a text: ids are dealt out again by the bytes that they stand for."""
         plain, odd = [x for x in new if x[:1] == " " and x != " "], [x for x in new if x[:1] != " " or x == " "]
@@ -99,16 +112,16 @@ class Encoder:
         for group, text, e in zip(groups, joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             if len(group) == 1:
-                self.known[group[0]] = ids.tobytes()
+                self._keep([(group[0], ids.tobytes())])
                 continue
             ends = np.cumsum(list(map(len, group)) if text.isascii() else [len(x.encode()) for x in group])
             reached = np.cumsum(self.lengths[ids])
             cuts = np.searchsorted(reached, ends) + 1
             if len(ids) == 0 or cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):
-                self.known.update((x, np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()) for x in group)
+                self._keep((x, np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()) for x in group)
             else:
                 data, at = ids.tobytes(), (ids.itemsize * cuts).tolist()
-                self.known.update(zip(group, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+                self._keep(zip(group, [data[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
 
 
 def bits_for(vocabulary: int) -> int:
@@ -207,8 +220,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, place: str, in_file_order: boo
     in_file_order, the order of the Parquet files and rows that docs was read from. Null texts are empty.
     """
     if in_file_order:
-        # A range of (file, row): files of one table are named in the order in which they were written.
-        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_metadata.file_name").alias("a"), F.col("_metadata.row_index").alias("b"))
+        # A range of (file, row): Spark numbers a table's files in the order of its partitions; 100,000 and more have more digits.
+        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(number.alias("n"), F.col("_metadata.file_name").alias("name")).alias("a"), F.col("_metadata.row_index").alias("b"))
     else:
         docs = pinned(docs, {"doc_id": "bigint", "text": "string"}).select("doc_id", "text", F.col("doc_id").alias("a"), F.xxhash64("text").alias("b"))
     dealt = docs.repartitionByRange("a", "b").sortWithinPartitions("a", "b", "text").withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")

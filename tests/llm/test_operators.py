@@ -135,6 +135,32 @@ def test_warc_odd(spark):
     assert [r.page_id for r in warc.warc(d, F.col("url") == "v").collect()] == [5, 5]
 
 
+def test_reads_are_coalesced(monkeypatch):
+    monkeypatch.setattr(warc, "GAP", 10)
+    monkeypatch.setattr(warc, "REQUEST", 100)
+    wanted = [("a", 0, 20), ("a", 20, 20), ("a", 50, 10), ("a", 71, 9), ("a", 80, 25), ("a", 105, 5), ("a", 110, 300), ("b", 0, 5), ("b", 4, 6)]
+    assert list(warc.requests(wanted)) == [(0, 3, 0, 60), (3, 6, 71, 110), (6, 7, 110, 410), (7, 9, 0, 10)]
+    assert list(warc.requests([])) == []
+
+
+def test_a_page_that_half_the_crawl_has(spark):
+    """Its pages are not dealt by digest: no task gets more than twice the median."""
+    d = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 2 == 0, "gone").otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))).alias("html")).repartition(8)
+    index = warc.write_warc(d, common.fresh_dir(spark, "warc-test"))
+    per_file = sorted(r["count"] for r in index.groupBy("file").count().collect())
+    assert sum(per_file) == 4000 and per_file[-1] <= 2 * per_file[len(per_file) // 2]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in index.collect()}
+    assert all(got[i] == (("response", None) if i in (0, *range(1, 500, 2)) else ("revisit", 0 if i % 2 == 0 else i % 500)) for i in range(4000))
+
+
+def test_archives_name_what_is_revisited(spark, tmp_path):
+    import gzip
+
+    index = warc.write_warc(spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "x")], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}")
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in tmp_path.glob("*.warc.gz")).decode()
+    assert data.count("WARC-Type: warcinfo") == len(list(tmp_path.glob("*.warc.gz"))) and "WARC-Refers-To-Target-URI: http://a/\r\nWARC-Refers-To-Date: " in data and index.count() == 2
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -187,6 +213,19 @@ def test_pieces_encode_as_whole_texts():
         assert np.frombuffer(ids, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_what_an_encoder_remembers_is_bounded_in_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMORY", 20_000)
+    t, e = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
+    rng = np.random.default_rng(1)
+    for k in range(20):
+        texts = ["".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 2000)), " ".join(f"w{k}x{i}" for i in range(40))]
+        for text, ids in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(ids, e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+        assert all(len(x) <= tokens.LONG for x in e.known) and e.held < 40_000 and sum(map(len, e.known)) + sum(map(len, e.known.values())) <= e.held
+
+
 def test_tokens_odd(odd, none):
     got = tokens.token_output(odd, tokens.default_tokenizer()).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ODD)
@@ -260,6 +299,23 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in [*range(1, 41), 100, 101]}
 
 
+def test_hot_keys_are_split(spark):
+    """Half of all rows have one key: no task of the join gets more than twice the median."""
+    left = common.written(spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).cast("long").alias("key"), "id").repartition(8), "left")
+    right = spark.range(0, 20_000, 3).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice")).filter("key != 6").union(spark.createDataFrame([(7, 14)], "key long, twice long")).distinct()
+    for how in ("inner", "left"):
+        got = common.join_split(left, right, "key", how)
+        assert Counter(map(tuple, got.select("key", "id", "twice").collect())) == Counter(map(tuple, left.join(right, "key", how).select("key", "id", "twice").collect()))
+    hot = got.filter("key = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hot) >= 4 and max(r["count"] for r in hot) <= 10_000 / len(hot) * 2
+
+
+def test_copies_by_the_thousand(spark):
+    d = [(i, "the same words in every copy of this text") for i in range(3000)] + [(5000 + i, f"own words {i} of number {i * 7} here") for i in range(200)] + [(None, "") for _ in range(500)]
+    got = simhash.simhash_components(spark.createDataFrame(d, "doc_id long, text string").repartition(6)).collect()
+    assert Counter(map(tuple, got)) == Counter(plain_components([(i, plain_fingerprint(t)) for i, t in d]))
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
