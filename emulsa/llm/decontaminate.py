@@ -74,14 +74,14 @@ def _best(doc: Column, item: Column, diagonal: Column, at: Column, tokens: int)
     return let(agree, windows)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, tokens: int = TOKENS, similarity: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, tokens: int = TOKENS, similarity: float = SIMILARITY, id_type: str = "bigint") -> DataFrame:
     """doc_id, item_id, similarity of each document and benchmark item that share a passage; each pair once.
 
     Null texts are empty, and an item without tokens is found nowhere. Empty tables give an empty result.
     Rows with the same doc_id (or none: null is a doc_id of its own) are reported together, as are items with the same
-    item_id. Other columns are ignored.
+    item_id. Other columns are ignored. id_type: the type of doc_id.
     """
-    docs, benchmark = pinned(docs, {"doc_id": "bigint", "text": "string"}), pinned(benchmark, {"item_id": "bigint", "text": "string"})
+    docs, benchmark = pinned(docs, {"doc_id": id_type, "text": "string"}), pinned(benchmark, {"item_id": "bigint", "text": "string"})
     items = benchmark.select("item_id", tokens_of(text_of()).alias("item"))
     lengths = sorted(r[0] for r in items.select(F.least(F.size("item"), F.lit(tokens)).alias("n")).distinct().collect() if r[0])  # tokens of them at most
     by_length = {n: masks_for(n, similarity, masks) for n in lengths}

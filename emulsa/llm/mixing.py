@@ -14,7 +14,7 @@ sources times documents.
 
 Numbering the documents of a source needs no task that holds the whole source: the md5 order is cut into CELLS equal
 ranges, counted by (source, range), and a document's number is the count of the ranges before plus its place in its own.
-Rows without doc_id, or with one that many rows have, are drawn by their text too, so they spread over the ranges.
+Rows without doc_id are drawn by what is carried, so they spread over the ranges, too.
 """
 
 from __future__ import annotations
@@ -108,8 +108,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     empty, so the others keep their shares among themselves. Without weights, sources weigh by the whole root of their
     number of documents. Rows of a source without weight, if weights are given, come last: their slot is null and position
     goes on after the last slot in use. A null source is a source of its own (key None). Repeated rows each get a place;
-    rows without doc_id, or with one that others have, are drawn by the carried columns too. An empty table gives an empty
-    result. Clashing columns of docs are ignored. The driver holds a number for each source and PART rows of the schedule.
+    rows without doc_id are drawn by the carried columns, rows with the same doc_id in the order of these. An empty table
+    gives an empty result. Clashing columns of docs are ignored. The driver holds a number for each source and PART rows of the schedule.
     """
     spark = docs.sparkSession
     kinds = {"doc_id": "bigint", "source": "string"} | {c: dict(docs.dtypes)[c] for c in carry or [] if c not in ("doc_id", "source")}
@@ -122,7 +122,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     known, n_known = _stored(spark, iter(sorted(shares.items())), "line:string,share:bigint", "mix-shares")
     bound = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST else df
     extra = [c for c in kinds if c not in ("doc_id", "source")]
-    draw = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *[F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in extra]))] if extra else []))
+    rest = F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in extra])) if extra else F.lit("")
+    draw = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), rest)), rest)
     packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in extra]).alias("carried") if extra else F.lit(None).alias("carried"), _key(F.col("source")).alias("line"), draw.alias("draw"))
     packed = packed.join(bound(known, n_known), "line", "left")
     # All sources without weight share one line, in order of their draws.

@@ -69,9 +69,9 @@ def learned_words(docs: DataFrame, n: int = N_LEARNED) -> DataFrame:
     return ranked.groupBy("language").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("ranked")).select("language", F.transform("ranked", lambda x: x["word"]).alias("learned"))
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Counts of every document: doc_id, language, words, chars (by class), commons (by word of the language's list), and the plain counts."""
-    docs = pinned(docs, {"doc_id": "bigint", "text": "string", "lang": "string"})
+    docs = pinned(docs, {"doc_id": id_type, "text": "string", "lang": "string"})
     learned = written(learned_words(docs), "learned-words")
     docs = docs.withColumn("language", _language()).join(F.broadcast(learned) if learned.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else learned, "language", "left")
     base = docs.select("doc_id", "language", "learned", text_of().alias("t"), words_of(text_of()).alias("w"))
@@ -105,14 +105,15 @@ def _distance(p: Column, q: Column) -> Column:
     return F.when(each.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))))
 
 
-def quality_rules(docs: DataFrame, min_judged_words: int = MIN_JUDGED_WORDS, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, min_judged_words: int = MIN_JUDGED_WORDS, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_docs: int = MIN_DOCS, id_type: str = "bigint") -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
     Null texts are empty: no words, base_failed. Distances are null for documents without words and where the language
     has no reference (too few documents of min_judged_words words that pass the plain rules), where a document stands or
     falls by the other rules. Null is a language like any other. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are ignored.
+    id_type: the type of doc_id, which is only passed on.
     """
-    counts = written(features(docs), "quality")
+    counts = written(features(docs, id_type), "quality")
     shares = counts.select(
         "*", _shares(F.col("classes"), F.col("word_chars")).alias("p_char"), _shares(F.col("commons"), F.col("n_words")).alias("p_word"),
     )

@@ -52,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(bits)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "bigint") -> DataFrame:
     """doc_id, fp of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = pa.array((fingerprint(x.as_py() or b"", shingle) for x in texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
 
-    return pinned(docs, {"doc_id": "bigint", "text": "string"}).mapInArrow(run, "doc_id bigint, fp bigint")
+    return pinned(docs, {"doc_id": id_type, "text": "string"}).mapInArrow(run, f"doc_id {id_type}, fp bigint")
 
 
 def segment_plan(n: int) -> int:
@@ -122,14 +122,14 @@ def components(edges: DataFrame) -> DataFrame:
         last = is_now
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "bigint") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
 
     Null texts are empty; texts without words have fingerprint zero and link like any other. Repeated rows give repeated
     rows. Rows without doc_id get a component too, null if no row of the component has a doc_id. An empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. id_type: the type of doc_id, any that has an order.
     """
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+    fps = written(fingerprints(docs, shingle, id_type), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
     edges = written(links(classes.select("fp"), segment_plan(classes.count())), "links")
     stars = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))

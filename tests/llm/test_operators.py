@@ -776,6 +776,43 @@ def test_distances_are_those_of_plain_histograms(spark):
 # The pipeline ----------------------------------------------------------------------------------------------------------
 
 
+def test_stages_on_odd_rows(spark, none):
+    """Nulls, repeats, missing columns, and columns named like what the stages make: values come out as they went in, decisions hold row by row."""
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"the w{k * 50 + i} of and x{k}y{i}" for i in range(12))
+    rows_ = [(1, text(1), "en", "a"), (1, text(2), "en", "a"), (None, text(3), None, None), (None, text(4), "en", "b"), (5, text(1), "en", "b"), (6, None, "en", "a"), (7, "", "en", None), (8, text(8), "fr", "a"), (8, text(8), "fr", "a"), (9, "x " * 20_000, "en", "a")]
+    clash = ("position", "slot", "block", "_key", "_key_", "__row__", "cell", "line", "whole", "n", "kept", "k0", "share", "carried", "draw")
+    d = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"own {c}") for c in clash})
+    want = {"quality rules": lambda r: r[1] and len(r[1]) > 1 and not r[1].startswith("x "), "near-dedup": None, "decontamination": lambda r: True, "mixing": lambda r: True}
+    for name, stage in P.STAGES[:4]:
+        got = stage(spark, d, SF)
+        assert got.columns == d.columns
+        out = got.collect()
+        assert all(r[c] == f"own {c}" for r in out for c in clash)
+        if name == "near-dedup":
+            kept = Counter((r.doc_id, r.text) for r in out)
+            assert kept == Counter({(1, text(1)): 1, (1, text(2)): 1, (None, text(3)): 1, (None, text(4)): 1, (6, None): 1, (8, text(8)): 1, (9, "x " * 20_000): 1})
+        else:
+            assert Counter(tuple(r)[:4] for r in out) == Counter(r for r in rows_ if want[name](r)), name
+        assert stage(spark, d.limit(0), SF).collect() == [] and stage(spark, d.select("text"), SF).columns == ["text"]
+    place = common.fresh_dir(spark, "odd")
+    d.write.parquet(place)
+    assert P.tokens(spark, spark.read.parquet(place), SF).count() == len(rows_)
+    none.write.parquet(place + "-none")
+    assert P.tokens(spark, spark.read.parquet(place + "-none"), SF).collect() == []
+
+
+def test_part_files_beyond_five_digits_keep_their_order(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k, n in enumerate([99_998, 99_999, 100_000, 100_001]):
+        pq.write_table(pa.table({"doc_id": [k], "text": [f"t{k}"]}), tmp_path / f"part-{n:05d}-x.parquet")
+    got = tokens.token_output(spark.read.parquet(f"file://{tmp_path}"), tokens.default_tokenizer(), in_file_order=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [0, 1, 2, 3]
+
+
 def test_pipeline(spark, rows):
     import corpus_pipeline as P
 
