@@ -18,12 +18,31 @@ def taps(sigma: float, limit: int) -> np.ndarray:
     return (w / w.sum()).astype(f32)
 
 
+#: From so many taps on a line is blurred by products with a band matrix, so many outputs at a time, instead of a pass for each tap.
+MANY_TAPS, BAND = 61, 256
+
+
+def _banded(p: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """p (..., n + taps - 1) with the taps laid along its last axis."""
+    band = max(BAND, len(w))
+    matrix = np.zeros((band + len(w) - 1, band), f32)
+    for k in range(band):
+        matrix[k : k + len(w), k] = w
+    out = np.empty((*p.shape[:-1], n), f32)
+    for lo in range(0, n, band):
+        m = min(band, n - lo)
+        out[..., lo : lo + m] = p[..., lo : lo + m + len(w) - 1] @ matrix[: m + len(w) - 1, :m]
+    return out
+
+
 def _along(x: np.ndarray, w: np.ndarray, axis: int) -> np.ndarray:
     r = len(w) // 2
     pad = [(0, 0)] * x.ndim
     pad[axis] = (r, r)
     p = np.pad(x, pad, mode="reflect")
     n = x.shape[axis]
+    if len(w) >= MANY_TAPS:
+        return np.ascontiguousarray(np.moveaxis(_banded(np.moveaxis(p, axis, -1), w, n), -1, axis))
     cut = [slice(None)] * x.ndim
     out = np.zeros_like(x)
     for k, wk in enumerate(w):

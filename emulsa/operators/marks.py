@@ -7,12 +7,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulsa.kernels.marks import dust_reach, dust_sites
+from emulsa.kernels.marks import specks
 
 
 def dust_table(spark: SparkSession, p: dict[str, float], scale: float = 1.0) -> DataFrame:
     """k, y, x (shares of the frame), reach (pixels), light: 4000 rows at most."""
-    rows = [{"k": q["k"], "y": q["y"], "x": q["x"], "reach": dust_reach(q, p, scale)[-1], "light": bool(q["light"])} for q in dust_sites(int(p["texture_seed"]), int(p["dust"]), p["dust_balance"])]
+    c = specks(p, scale)
+    rows = [{"k": k, "y": y, "x": x, "reach": r, "light": light} for k, ((y, x), r, light) in enumerate(zip(c["place"].tolist(), c["reach"].tolist(), c["light"].tolist(), strict=True))]
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<k:int,y:double,x:double,reach:double,light:boolean>>")))
 
 

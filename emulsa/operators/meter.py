@@ -1,7 +1,11 @@
-"""Metering of whole frames: three aggregates over the pixels (partial sums first), a row for each image."""
+"""Metering of whole frames: aggregates over the pixels (partial sums first), a row for each image."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +23,10 @@ def meter(df: DataFrame) -> DataFrame:
     lin = [C.linear(F.col(c)) for c in "rgb"]
     top, low = F.greatest(*map(F.col, "rgb")), F.least(*map(F.col, "rgb"))
     df = df.withColumns({"lr": lin[0], "lg": lin[1], "lb": lin[2], "top": top, "seen": low >= DARK, "ok": (low >= DARK) & (top <= CLIPPED)})
-    peak = df.groupBy("image_id").agg(F.max("top").alias("peak"), F.count("*").alias("n"))
-    if {"y", "x"} <= set(df.columns):
-        size = df.groupBy("image_id").agg((F.max("x") + 1).alias("w"), F.greatest(F.lit(1), F.floor(F.count("*") / SAMPLES)).alias("stride"))
-        df = df.join(size, "image_id").filter((F.col("y").cast("bigint") * F.col("w") + F.col("x")) % F.col("stride") == 0)
+    # The peak is that of all pixels; everything else is measured on the sampled ones.
+    peak = df.groupBy("image_id").agg(F.max("top").alias("peak"), *([(F.max("x") + 1).alias("w"), F.greatest(F.lit(1), F.floor(F.count("*") / SAMPLES)).alias("stride")] if {"y", "x"} <= set(df.columns) else []))
+    if "stride" in peak.columns:
+        df = df.join(peak.drop("peak"), "image_id").filter((F.col("y").cast("bigint") * F.col("w") + F.col("x")) % F.col("stride") == 0)
     total = F.greatest(F.col("lr") + F.col("lg") + F.col("lb"), F.lit(1e-6))
     first = df.groupBy("image_id").agg(
         F.count_if("seen").alias("n_seen"), F.count_if("ok").alias("n_ok"),
@@ -38,7 +42,7 @@ def meter(df: DataFrame) -> DataFrame:
     first = first.withColumn("gy", C.luma(*[F.col(f"g{c}") for c in "rgb"])).withColumns({f"g{c}": F.col(f"g{c}") / F.col("gy") for c in "rgb"})
     shown = F.greatest(C.luma(*[F.col(f"l{c}") * F.col(f"g{c}") for c in "rgb"]), F.lit(1e-6))
     key = df.join(first.select("image_id", "gr", "gg", "gb"), "image_id").groupBy("image_id").agg(F.exp(F.avg(F.when(F.col("seen"), F.ln(shown)))).alias("key"))
-    out = first.join(key, "image_id").join(peak, "image_id")
+    out = first.join(key, "image_id").join(peak.select("image_id", "peak"), "image_id")
     limit = lambda x: F.greatest(F.lit(-MAX_EV), F.least(F.lit(MAX_EV), x))
     white = lambda ev: F.greatest(F.lit(1.0), C.linear(F.col("peak")) * F.greatest("gr", "gg", "gb") * F.pow(F.lit(2.0), F.col(ev)))
     out = out.withColumn("ev", limit(F.log2(KEY / F.col("key")))).withColumn("white", white("ev")).withColumn("k", F.col("key") * F.pow(F.lit(2.0), F.col("ev")))
@@ -52,6 +56,26 @@ def meter(df: DataFrame) -> DataFrame:
     )
 
 
+def pixels_of(frames: DataFrame) -> DataFrame:
+    """pixels(image_id, y, x, r, g, b) of frames, in Arrow batches of some rows of a frame each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                image, h, w = (b.column(c)[k] for c in range(3))
+                h, w = h.as_py(), w.as_py()
+                planes = np.frombuffer(b.column(3)[k].as_buffer(), "<f4").reshape(3, h, w)
+                step = max(1, 100_000 // w)
+                for lo in range(0, h, step):
+                    part = planes[:, lo : lo + step].reshape(3, -1).astype(np.float64)
+                    n = part.shape[1]
+                    names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([image.as_py()])).cast(pa.string())
+                    at = np.arange(n, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([names, pa.array(at // w + np.int32(lo)), pa.array(at % w), *map(pa.array, part)], ["image_id", "y", "x", "r", "g", "b"])
+
+    return frames.select("image_id", "h", "w", "planes").mapInArrow(run, "image_id string, y int, x int, r double, g double, b double")
+
+
 def normalize(df: DataFrame, metered: DataFrame, highlight_priority: float = 0.0) -> DataFrame:
     """Exposure, balance and white point as metered; metered has a row for each image, which is small beside the frames."""
     d = df.withColumns({f"s{c}": F.col(c) for c in "rgb"}).join(metered, "image_id")

@@ -8,16 +8,18 @@ import uuid
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from emulsa.operators.meter import meter
+from emulsa.operators.meter import meter, pixels_of
 from emulsa.operators.render import FRAME, render
 from emulsa.params.ops import clamp_supersample, schema
 from emulsa.plans.planner import Plan, plan
+from emulsa.sources import cube
 from emulsa.sources.images import encoded, export_name, proxies
 
-MAX_UPLOADS = 12
+#: Frames, and finished exports, that are kept.
+MAX_UPLOADS, MAX_EXPORTS = 12, 8
 
 
 @dataclass
@@ -41,7 +43,7 @@ class Job:
 
 class Service:
     def __init__(self, spark: SparkSession):
-        self.spark, self.uploads, self.jobs = spark, OrderedDict(), {}
+        self.spark, self.uploads, self.jobs = spark, OrderedDict(), OrderedDict()
         self._ticket, self._lock = 0, threading.Lock()
 
     def health(self) -> dict:
@@ -60,6 +62,8 @@ class Service:
             _, old = self.uploads.popitem(last=False)
             old.frames.unpersist()
             old.proxy.unpersist()
+            if old.metered is not None:
+                old.metered.unpersist()
         return key
 
     def get(self, key: str) -> Upload:
@@ -70,10 +74,7 @@ class Service:
         if p.params["normalize"] < 0.5:
             return None
         if up.metered is None:  # once for each image
-            from emulsa.queries.renders import pixels
-
-            px = pixels(up.frames)
-            up.metered = meter(px.select("image_id", "y", "x", *[(F.col(c) / 1000).alias(c) for c in "rgb"])).persist()
+            up.metered = meter(pixels_of(up.frames)).persist()
         return up.metered
 
     def source(self, key: str) -> bytes:
@@ -108,13 +109,55 @@ class Service:
         up = self.get(key)
         job = Job(uuid.uuid4().hex, export_name(up.name, clamp_supersample(supersample), full, fmt))
         self.jobs[job.id] = job
+        for old in [j.id for j in self.jobs.values() if j.status != "running"][:-MAX_EXPORTS]:
+            del self.jobs[old]
 
         def run() -> None:
             try:
-                job.data = bytes(encoded(self.rendered(key, values, supersample, full, **more), fmt, quality).first()["bytes"])
-                job.status = "done"
+                self.spark.addTag(f"export-{job.id}")  # of this thread's jobs
+                data = bytes(encoded(self.rendered(key, values, supersample, full, **more), fmt, quality).first()["bytes"])
+                if job.status == "running":
+                    job.data, job.status = data, "done"
             except Exception as e:  # the job's status tells
-                job.status, job.error = "error", str(e)
+                if job.status == "running":
+                    job.status, job.error = "error", str(e)
 
-        threading.Thread(target=run, daemon=True).start()
+        InheritableThread(target=run, daemon=True, session=self.spark).start()
         return job.id
+
+    def exports(self) -> list[dict]:
+        """id, filename, status, error, created of the exports, the latest first."""
+        return [{"id": j.id, "filename": j.filename, "status": j.status, "error": j.error, "created": j.created} for j in reversed(self.jobs.values())]
+
+    def progress(self, job_id: str) -> float:
+        """The share of an export's tasks that are done, of the stages that Spark has planned so far; 1 when it is done."""
+        job, told = self.jobs[job_id], self.spark.sparkContext.statusTracker()
+        if job.status == "done":
+            return 1.0
+        jobs = self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(f"export-{job_id}")
+        stages = [told.getStageInfo(k) for i in jobs for k in (told.getJobInfo(i).stageIds if told.getJobInfo(i) else [])]
+        total = sum(x.numTasks for x in stages if x)
+        return sum(x.numCompletedTasks for x in stages if x) / total if total else 0.0
+
+    def cancel(self, job_id: str) -> None:
+        """Ends an export that runs."""
+        job = self.jobs[job_id]
+        if job.status == "running":
+            job.status = "cancelled"
+            self.spark.interruptTag(f"export-{job_id}")
+
+    def download(self, job_id: str) -> tuple[str, bytes]:
+        """File name and bytes of an export that is done; the bytes are let go of once they are fetched."""
+        job = self.jobs[job_id]
+        if job.status != "done":
+            raise ValueError(f"the export is {job.status}")
+        self.jobs.pop(job_id)
+        return job.filename, job.data
+
+    def luts(self, root: str) -> list[dict]:
+        """id, name, group, size of the tables under root, and of those uploaded."""
+        found = cube.scan(self.spark, root).select("id", "name", "group", "size").collect()
+        return [{**x, "group": "uploads"} for x in cube.uploads()] + [r.asDict() for r in found]
+
+    def upload_lut(self, name: str, content: bytes) -> str:
+        return cube.upload(name, content)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections import OrderedDict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,10 +75,55 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return out.orderBy(F.col("group") != "", "group", "name")
 
 
+_READ: OrderedDict[tuple, dict | None] = OrderedDict()
+_UPLOADED: OrderedDict[str, dict] = OrderedDict()
+#: Tables that the driver remembers, of each kind; the least recently used go.
+MAX_READ, MAX_UPLOADED = 16, 8
+UPLOAD = "upload:"
+
+
+def _recent(kept: OrderedDict, key, most: int, value=None):
+    """The value under key, which is now the most recently used; with a value, after putting it there."""
+    if value is not None:
+        kept[key] = value
+    kept.move_to_end(key)
+    while len(kept) > most:
+        kept.popitem(last=False)
+    return kept[key]
+
+
 def get(spark: SparkSession, root: str, lut_id: str) -> dict | None:
-    """One table for a plan, or None."""
-    rows = spark.read.text(f"{root}/{safe_id(lut_id)}.cube", wholetext=True).collect()
+    """One table for a plan; None if there is none, or one that is too large or bad. Read once as long as its time and size stay."""
+    if lut_id.startswith(UPLOAD):
+        return _recent(_UPLOADED, lut_id, MAX_UPLOADED) if lut_id in _UPLOADED else None
+    path = f"{root}/{safe_id(lut_id)}.cube"
     try:
-        return parse(rows[0][0]) | {"id": lut_id} if rows else None
-    except ValueError:
+        found = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").collect()
+    except AnalysisException:  # no such file
+        return None
+    if not found or found[0]["length"] > MAX_BYTES:
         return None
+    key = tuple(found[0])
+    if key not in _READ:
+        data = spark.read.format("binaryFile").load(path).select("content").first()[0]
+        try:
+            _recent(_READ, key, MAX_READ, parse(bytes(data).decode("utf-8", "replace"), lut_id.rsplit("/", 1)[-1]) | {"id": lut_id})
+        except ValueError:
+            return None
+    return _recent(_READ, key, MAX_READ)
+
+
+def upload(name: str, content: bytes) -> str:
+    """Keeps an uploaded table under a new id, the MAX_UPLOADED last ones; ValueError if it is none, or too large."""
+    if not name.lower().endswith(".cube"):
+        raise ValueError("not a .cube file")
+    if len(content) > MAX_BYTES:
+        raise ValueError("too large")
+    lut_id = UPLOAD + uuid.uuid4().hex
+    _recent(_UPLOADED, lut_id, MAX_UPLOADED, parse(content.decode("utf-8", "replace"), name.rsplit("/", 1)[-1].rsplit(".", 1)[0]) | {"id": lut_id})
+    return lut_id
+
+
+def uploads() -> list[dict]:
+    """id, name, size of the uploaded tables, the latest first."""
+    return [{"id": k, "name": v["name"], "size": v["size"]} for k, v in reversed(_UPLOADED.items())]

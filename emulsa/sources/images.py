@@ -30,8 +30,8 @@ def kind_of(content: Column) -> Column:
     return F.when(magic == "89504E47", "png").when(magic.startswith("FFD8FF"), "jpeg")
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content, kind, reason (null if the file may be read) of all files under path."""
+def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, length, content, kind, reason (null if the file may be read) of all files under path, or of a list of files."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = kind_of(F.col("content"))
     big = F.conv(F.hex(F.substring("content", 17, 4)), 16, 10).cast("bigint") * F.conv(F.hex(F.substring("content", 21, 4)), 16, 10).cast("bigint") > MAX_PIXELS
@@ -90,17 +90,20 @@ def _decode_jpeg(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([x.shape[1]], pa.int32()), pa.array([x.shape[2]], pa.int32()), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())], ["image_id", "h", "w", "planes"])
 
 
-def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """frames of the images under path, and rejects(path, reason)."""
+def read_images(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """frames of the images under path (or of a list of files), and rejects(path, reason): every file is in one of them."""
     files = scan(spark, path)
     pngs = files.filter("kind = 'png' and reason is null").select(F.col("path").alias("image_id"), "content").mapInArrow(_decode_png, FRAME + ", reason string")
-    heads = files.filter("kind = 'jpeg' and reason is null").select(F.col("path").alias("image_id"), F.substring("content", 1, 65536).alias("head"))
-    shown = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
-    shown = shown.select(F.col("origin").alias("image_id"), "height", "width", "nChannels", "data")
     norm = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    jpegs = shown.withColumn("image_id", norm("image_id")).join(heads.withColumn("image_id", norm("image_id")), "image_id").mapInArrow(_decode_jpeg, FRAME)
+    heads = files.filter("kind = 'jpeg' and reason is null").select(norm(F.col("path")).alias("image_id"), F.substring("content", 1, 65536).alias("head"))
+    shown = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+    shown = shown.select(norm(F.col("origin")).alias("image_id"), "height", "width", "nChannels", "data")
+    big = F.col("height").cast("bigint") * F.col("width") > MAX_PIXELS
+    jpegs = shown.filter(~big).join(heads, "image_id").mapInArrow(_decode_jpeg, FRAME)
+    told = heads.select("image_id").join(shown.select("image_id", big.alias("big")), "image_id", "left")
+    bad = told.filter("big is null or big").select(F.col("image_id").alias("path"), F.when(F.col("big"), "too many pixels").otherwise("broken: not a JPEG file that can be read").alias("reason"))
     frames = pngs.filter("reason is null").drop("reason").unionByName(jpegs)
-    rejects = files.filter("reason is not null").select("path", "reason").union(pngs.filter("reason is not null").select("image_id", "reason"))
+    rejects = files.filter("reason is not null").select("path", "reason").union(pngs.filter("reason is not null").select("image_id", "reason")).union(bad)
     return frames, rejects
 
 

@@ -113,11 +113,40 @@ def test_opacity_is_linear(scene):
     assert np.abs(half - (scene + full) / 2).max() < 1e-6 and render_supersampled(scene, p | {"master_opacity": 0.0}, Place(0, 0, H, W), 1) is scene
 
 
+@pytest.mark.parametrize("sigma", [2.0, 20.0, 25.0, 90.0])
+def test_wide_blurs_equal_a_pass_for_each_tap(sigma, monkeypatch):
+    from emulsa.kernels import primitives
+
+    x = np.random.default_rng(3).random((3, 150, 301), np.float32)
+    fast = primitives.blur(x, sigma)
+    monkeypatch.setattr(primitives, "MANY_TAPS", 10**9)
+    assert np.abs(fast - primitives.blur(x, sigma)).max() < 2e-6
+
+
 def test_sites_do_not_depend_on_their_number():
-    a, b = marks.dust_sites(77, 5, 0), marks.dust_sites(77, 50, 0)
-    assert all((p["y"], p["size"]) == (q["y"], q["size"]) for p, q in zip(a, b, strict=False))
-    assert [h["x"] for h in marks.hair_sites(77, 3)] == [h["x"] for h in marks.hair_sites(77, 9)][:3]
-    assert marks.leak_sites(77, 2, 0.7) == marks.leak_sites(77, 6, 0.7)[:2]
+    p = OFF | {"texture_seed": 77, "dust_size": 12, "hair_length": 60}
+    for made, key, few, many in ((marks.specks, "dust", 5, 50), (marks.fibres, "hair", 3, 9)):
+        a, b = made(p | {key: few}, 1.0), made(p | {key: many}, 1.0)
+        assert all(np.array_equal(a[c], b[c][:few]) for c in a if c not in ("light", "level"))
+    a, b = marks.leak_columns(77, 2, 0.7), marks.leak_columns(77, 6, 0.7)
+    assert all(np.array_equal(a[c], b[c][:2]) for c in a)
+
+
+def test_specks_are_those_of_the_formula():
+    """Size 0.55 + u2 squared; eccentricity, lobes and softness as published."""
+    p = OFF | {"texture_seed": 5, "dust": 30, "dust_size": 10, "dust_irregular": 1, "dust_soften": 0.4, "dust_balance": -0.2}
+    c = marks.specks(p, 2.0)
+    for k in range(30):
+        u = np.random.default_rng(5 * 1_000_003 + 5501 + 7919 * k + 17).random(12)
+        r, e = 0.5 * 10 * 2 * (0.55 + u[2] ** 2), u[3] * 0.55
+        assert np.allclose(c["axes"][k], [r * (1 + e), r * (1 - e)]) and np.allclose(c["lobes"][k], np.array([0.24, 0.17, 0.12]) * (0.45 + 1.05 * u[11])) and c["light"][k] == (k < round(30 * 0.4))
+
+
+def test_leaks_lie_on_the_border_that_their_place_names():
+    h, w = 60, 100
+    for share, want in ((0.0, 0), (0.31, 0), (0.32, 1), (0.49, 1), (0.51, 2), (0.82, 3), (0.999, 3)):
+        which, length, t = marks._border(share, h, w)
+        assert which == want and length == (w, h, w, h)[want] and 0 <= t <= 1
 
 
 def test_marks_below_one_draw_nothing(scene):

@@ -86,6 +86,14 @@ def test_cube_scan(spark, tmp_path):
     (tmp_path / "bad.cube").write_text("LUT_3D_SIZE 2\n0 0 0")
     assert [r.id for r in cube.scan(spark, str(tmp_path)).collect()] == ["root", "bw/z"]
     assert cube.get(spark, str(tmp_path), "root")["size"] == 2
+    assert cube.get(spark, str(tmp_path), "root") is cube.get(spark, str(tmp_path), "root") and cube.get(spark, str(tmp_path), "bad") is None and cube.get(spark, str(tmp_path), "none") is None
+    (tmp_path / "root.cube").write_text(f"LUT_3D_SIZE 2\n{body}\n# longer")
+    assert cube.get(spark, str(tmp_path), "root")["size"] == 2 and cube.get(spark, str(tmp_path), "upload:unknown") is None
+    ids = [cube.upload(f"x{k}.cube", f"LUT_3D_SIZE 2\n{body}".encode()) for k in range(cube.MAX_UPLOADED + 2)]
+    assert [cube.get(spark, str(tmp_path), i) is not None for i in ids] == [False] * 2 + [True] * cube.MAX_UPLOADED and len(cube.uploads()) == cube.MAX_UPLOADED
+    for name, data in (("x.txt", b""), ("x.cube", b"broken")):
+        with pytest.raises(ValueError):
+            cube.upload(name, data)
 
 
 def test_presets(spark, tmp_path):
@@ -102,9 +110,13 @@ def test_stream(spark, noise, tmp_path):
     inbox, out = tmp_path / "in", tmp_path / "out"
     inbox.mkdir()
     (inbox / "a.png").write_bytes(png.encode(noise))
-    q = watch(spark, str(inbox), f"file://{out}", plan({"intensity": 20, "halation": 0}, 1), str(tmp_path / "state"))
+    (inbox / "b.jpg").write_bytes(jpeg.encode(noise, 90))
+    (inbox / "c.jpg").write_bytes(jpeg.encode(noise, 90)[:40])
+    (inbox / "d.txt").write_text("no image")
+    q = watch(spark, str(inbox), f"file://{out}", plan({"intensity": 20, "halation": 0}, 1), str(tmp_path / "state"), rejects=str(tmp_path / "bad"))
     q.awaitTermination(120)
-    assert q.exception() is None and [f.name for f in out.iterdir() if f.suffix == ".png"] == ["a_grain.png"]
+    assert q.exception() is None and sorted(f.name for f in out.iterdir() if f.suffix == ".png") == ["a_grain.png", "b_grain.png"]
+    assert {r.path.rsplit("/", 1)[-1]: r.reason.split(":")[0] for r in spark.read.json(str(tmp_path / "bad")).collect()} == {"c.jpg": "broken", "d.txt": "unsupported type"}
 
 
 def test_service(spark, noise, tmp_path):
@@ -124,6 +136,13 @@ def test_service(spark, noise, tmp_path):
             break
         time.sleep(0.1)
     assert job.status == "done" and job.filename == "a_grain.png" and png.decode(job.data).shape == (3, 37, 53)
+    assert [(e["id"], e["status"]) for e in s.exports()] == [(job.id, "done")] and s.progress(job.id) == 1
+    assert s.download(job.id)[0] == "a_grain.png" and s.exports() == []
+    slow = s.export(key, {"intensity": 30}, supersample=1)
+    s.cancel(slow)
+    assert s.jobs[slow].status in ("cancelled", "done") and 0 <= s.progress(slow) <= 1
+    lut = s.upload_lut("x.cube", b"LUT_3D_SIZE 2\n" + b"0 0 0\n" * 8)
+    assert lut in {x["id"] for x in s.luts(str(tmp_path))}
     with pytest.raises(KeyError):
         s.get("unknown")
 
@@ -137,3 +156,13 @@ def test_jpeg_is_read_by_another_decoder(spark, noise, tmp_path):
     got = {r.image_id.rsplit("/", 1)[-1][:-4]: planes_of(r.planes, r.h, r.w) for r in frames.collect()}
     assert set(got) == set(cases) and rejects.count() == 0
     assert all(np.abs(got[n] - v).mean() < 0.02 for n, v in cases.items()) and np.abs(got["flat"] - 0.4).max() < 0.005
+
+
+def test_frames_are_metered_as_their_pixels(spark, noise):
+    from emulsa.operators.meter import meter, pixels_of
+
+    frames = spark.createDataFrame([("a", 37, 53, bytearray(noise.tobytes()))], "image_id string, h int, w int, planes binary")
+    got = pixels_of(frames)
+    rows = {(r.y, r.x): (r.r, r.g, r.b) for r in got.collect()}
+    assert len(rows) == 37 * 53 and all(rows[y, x] == tuple(map(float, noise[:, y, x])) for y, x in ((0, 0), (5, 52), (36, 7)))
+    assert meter(got).count() == 1
