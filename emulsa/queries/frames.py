@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from emulsa.functions import colour as C
 from emulsa.functions.noise import with_noise
 from emulsa.kernels.noise import FIELD, M1, M2, MS, MX, MY
-from emulsa.kernels.primitives import hsv_to_rgb
 from emulsa.operators import marks as K
 from emulsa.operators import meter as M
 from emulsa.operators import neighbour as N
@@ -36,7 +35,8 @@ def _out(source: str, columns: dict[str, str]) -> str:
 def blur(source: str, cols: list[str], sigma: float) -> str:
     """Reflected separable gaussian in SQL: a join with the kernel's taps on each axis."""
     for axis, across in (("x", "y"), ("y", "x")):
-        kernel = " union all ".join(f"select {d} as d, {S.n(w)} as w" for d, w in N.taps(sigma))
+        bell = f"exp(-(d * d) / (2 * {S.n(sigma)} * {S.n(sigma)}))"
+        kernel = f"select d, {bell} / sum({bell}) over () as w from (select unnest(range(-ceil(3 * {S.n(sigma)})::int, ceil(3 * {S.n(sigma)})::int + 1)) as d)"
         sums = ", ".join(f"sum(k.w * q.{c}) as {c}" for c in cols)
         source = (
             f"with p as ({source}), n as (select max({axis}) + 1 as n from p), k as ({kernel}), s as (select p.image_id, p.y, p.x, {sums} from p cross join n cross join k "
@@ -81,7 +81,7 @@ def _guard(d: DataFrame) -> DataFrame:
     return N.blur(b.select("image_id", "y", "x", F.abs(F.col("l") - F.col("l_b")).alias("t")), ["t"], _SR).withColumn("guard", 0.15 + 0.85 * C.smoothstep(0.002, 0.015, F.col("t")))
 
 
-_COLOUR = hsv_to_rgb(11.0, 0.86, 1.0)
+_COLOUR = (1.0, 0.14 + 0.86 * 11 / 60, 0.14)  # hue 11, saturation 0.86, value 1
 _THR = ((0.5 + 0.055) / 1.055) ** 2.4
 _LIN = f"select * replace ({', '.join(f'{S.linear(c)} as {c}' for c in RGB)}) from ({E})"
 _GLOW = blur(copies(_LIN, {"glow": S.clamp(f"({S.luma()} - {S.n(_THR)}) / {S.n(1 - _THR)}")}), ["glow"], 2.0)

@@ -28,10 +28,11 @@ def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 x = np.stack([np.asarray(b.column(c)[k].as_py(), "<f4") for c in (1, 2, 3)])
-                x = np.ascontiguousarray(x[:, : x.shape[1] // 100 * 100].reshape(3, -1, 100))
+                h = max(2, -(-x.shape[1] // 100))  # a row that is not full ends in black
+                x = np.ascontiguousarray(np.pad(x, [(0, 0), (0, 100 * h - x.shape[1])]).reshape(3, h, 100))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([x.shape[1]], pa.int32()), pa.array([x.shape[2]], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["image_id", "h", "w", "planes"])
 
-    return lists.select("image_id", "p.r", "p.g", "p.b").mapInArrow(run, FRAME).filter("h > 1")
+    return lists.select("image_id", "p.r", "p.g", "p.b").mapInArrow(run, FRAME)
 
 
 def pixels(frames: DataFrame) -> DataFrame:
