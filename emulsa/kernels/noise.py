@@ -12,7 +12,7 @@ from .primitives import blur, f32, ss
 MX, MY, MS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 M1, M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 FIELD, OCTAVE = 7919, 1301
-FILL, SLOTS, SHARE = 0.62, 3, 3
+FILL, SLOTS = 0.62, 3
 GAIN, GAIN_FIT, CLUSTER_REF, CLUSTER_VAR = 0.29, (-0.04938, -0.02158, 0.16008, 0.48341), 0.6, 0.196
 SMOOTH_FIT = (-8.9785, 4.6986, 17.5924)
 
@@ -46,9 +46,9 @@ def value_noise(y0: int, x0: int, h: int, w: int, cell: float, seed: int, fields
     quintic = lambda f: f * f * f * (f * (6 * f - 15) + 10)
     fy, fx = quintic(fy)[:, None], quintic(fx)[None, :]
     lat = lattice(int(iy[0]), int(ix[0]), int(iy[-1] - iy[0]) + 2, int(ix[-1] - ix[0]) + 2, seed, fields)
-    ky, kx = (iy - iy[0])[:, None], (ix - ix[0])[None, :]
-    top = lat[:, ky, kx] * (1 - fx) + lat[:, ky, kx + 1] * fx
-    return top * (1 - fy) + (lat[:, ky + 1, kx] * (1 - fx) + lat[:, ky + 1, kx + 1] * fx) * fy
+    ky, kx = iy - iy[0], ix - ix[0]
+    rows = lat[:, :, kx] * (1 - fx) + lat[:, :, kx + 1] * fx  # along x once for each row of the lattice
+    return rows[:, ky] * (1 - fy) + rows[:, ky + 1] * fy
 
 
 def cell_noise(y0: int, x0: int, h: int, w: int, cell: float, seed: int, fields: int = 1) -> np.ndarray:
@@ -92,7 +92,7 @@ def cluster(iy0: int, ix0: int, h: int, w: int, seed: int, depth: float) -> np.n
 
 
 def grain_points(y0: int, x0: int, h: int, w: int, lo: float, hi: float, seed: int, fields: int, depth: float) -> np.ndarray:
-    """Overlapping round grains on a turned lattice of cells as wide as the largest grain."""
+    """Overlapping round grains on a turned lattice of cells as wide as the largest grain; where they overlap, they share by the cube of their shapes."""
     cell = hi
     angle = math.atan(1 / ((1 + math.sqrt(5)) / 2))
     c, s = math.cos(angle) / cell, math.sin(angle) / cell
@@ -104,22 +104,31 @@ def grain_points(y0: int, x0: int, h: int, w: int, lo: float, hi: float, seed: i
     per = 3 + fields
     lat = lattice(iy0, ix0, hl, wl, seed, SLOTS * per)
     bright = cluster(iy0, ix0, hl, wl, seed + 991, depth) if depth > 0.001 else f32(1)
-    ky, kx = iy - iy0, ix - ix0
+    at = (iy - iy0) * wl + (ix - ix0)  # the cell of each pixel, in cells laid end to end
     fv, fu = (v - iy0).astype(f32), (u - ix0).astype(f32)
     peak, num, den = np.zeros((h, w), f32), np.zeros((fields, h, w), f32), np.zeros((h, w), f32)
     cy, cx = np.arange(hl, dtype=f32)[:, None], np.arange(wl, dtype=f32)[None, :]
     for slot in range(SLOTS):
         a = lat[slot * per : (slot + 1) * per]
         radius = np.where(a[2] < FILL, (lo + (hi - lo) * a[2] / FILL) / cell, 0).astype(f32)
-        sign = np.where(a[3:] < 0.5, f32(-1), f32(1)) * bright
-        py, px = cy + a[0], cx + a[1]
+        inverse = (1 / np.maximum(radius, f32(1e-12))).ravel()
+        sign = (np.where(a[3:] < 0.5, f32(-1), f32(1)) * bright).astype(f32).reshape(fields, -1)
+        py, px = (cy + a[0]).ravel(), (cx + a[1]).ravel()
         for dy in (-1, 0, 1):
             for dx in (-1, 0, 1):
-                my, mx = ky + dy, kx + dx
-                d = np.sqrt((fv - py[my, mx]) ** 2 + (fu - px[my, mx]) ** 2) + f32(1e-7)
-                shape = 1 - ss(0.0, 1.0, d / np.maximum(radius[my, mx], f32(1e-12)))
-                weight = shape**SHARE
-                num += weight * sign[:, my, mx]
-                den += weight
+                k = at + (dy * wl + dx)
+                d, e = fv - py.take(k), fu - px.take(k)
+                d *= d
+                e *= e
+                d += e
+                np.sqrt(d, out=d)
+                d += f32(1e-7)
+                d *= inverse.take(k)
+                np.minimum(d, f32(1), out=d)
+                shape = 1 - d * d * (3 - 2 * d)
                 np.maximum(peak, shape, out=peak)
+                weight = shape * shape * shape
+                den += weight
+                for f in range(fields):
+                    num[f] += weight * sign[f].take(k)
     return f32(0.5) + f32(0.5 * grain_gain(lo, hi, depth)) * peak * (num / np.maximum(den, f32(1e-12)))
