@@ -8,7 +8,7 @@ them holds any run of L shingles whole. A window with 0.8 of a template's shingl
 
 A window without any shingle of any template can share no minimum with a template, so such windows (and documents) are
 passed over before minima are taken; this changes no result. Which shingles templates have is told by a Bloom filter, PROBES
-bits set of 64 to 128 for each (4 MB for 300,000 shingles), so the plan does not grow with the templates; a wrong yes costs time only.
+bits set of 16 to 32 for each, 128 K at least (1 MB for 300,000 shingles), so the plan does not grow with the templates; a wrong yes costs time only.
 
 Templates are a parameter: texts by license, or a table. MAX_SHINGLES bounds them, hence the bitmap and the bands' keys;
 their texts are broadcast up to MAX_BROADCAST bytes and joined otherwise. Nothing else is shuffled but the candidates.
@@ -119,7 +119,7 @@ def _probes(h: Column, bits: int) -> list[Column]:
 
 def _filter(known: DataFrame, shingles: int) -> tuple[Column, int]:
     """The Bloom filter of all shingles' hashes as a constant array of 64-bit words, and the log2 of its bits."""
-    bits = max(6, (64 * shingles).bit_length())
+    bits = max(17, (16 * shingles).bit_length())
     at = known.select(F.explode("hashes").alias("h")).select(F.explode(F.array(*_probes(F.col("h"), bits))).alias("at")).distinct()
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))).alias("set")).collect()
     array = [0] * (1 << bits - 6)  # bounded by MAX_SHINGLES

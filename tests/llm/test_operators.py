@@ -645,10 +645,10 @@ def test_licenses(spark, docs, rows, odd, none):
 
 
 def test_many_long_templates(spark, monkeypatch):
-    """600 templates of 2,000 tokens as a table: whole ones, ones with every 40th word changed, halves; joined rather than broadcast too."""
+    """200 templates of 2,000 tokens as a table: whole ones, ones with every 40th word changed, halves; joined rather than broadcast too."""
     rng = np.random.default_rng(6)
     vocabulary = np.array([f"w{i}" for i in range(4000)])
-    texts = {f"t{i}": list(rng.choice(vocabulary, 2000)) for i in range(600)}
+    texts = {f"t{i}": list(rng.choice(vocabulary, 2000)) for i in range(200)}
     templates = spark.createDataFrame([(n, " ".join(t)) for n, t in texts.items()], "license string, text string").repartition(4)
     pad = lambda n: list(rng.choice(vocabulary, n))
     d = [(i, pad(int(rng.integers(0, 900))) + texts[f"t{i}"] + pad(300), True) for i in range(8)]
