@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, lines, mixing, pii, quality, simhash, tokens, toxicity, warc
+from . import decontaminate, licenses, lines, mixing, periods, pii, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op12_periodic_runs": periods.op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_warc": warc.OP2_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_line_dedup": lines.OP9_SQL, "op10_quality_rules": quality.OP10_SQL}
