@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, lines, mixing, periods, pii, quality, search, simhash, tokens, toxicity, warc
+from . import decontaminate, forest, licenses, lines, mixing, periods, pii, quality, search, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_ranked_search": search.op11_ranked_search,
     "op12_periodic_runs": periods.op12_periodic_runs,
+    "op13_minhash_forest": forest.op13_minhash_forest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op2_warc": warc.OP2_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_license_scan": licenses.OP8_SQL, "op9_line_dedup": lines.OP9_SQL, "op10_quality_rules": quality.OP10_SQL, "op11_ranked_search": search.OP11_SQL}

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_split, pinned, table, written
+from .common import pinned, table, written
+from .components import component_ids
 
 SHINGLE, SEED, BITS, MAX_BITS = 4, 42, 64, 4
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -100,28 +101,6 @@ def links(fps: DataFrame, c: int) -> DataFrame:
     return keyed.alias("l").join(keyed.alias("r"), same & near & this).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """a, b: each node that has an edge and is not the smallest of its component, and that smallest node."""
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-
-    flip = lambda e: e.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    now, last = edges, None
-    while True:
-        both = now.union(flip(now))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = written(large, "star")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "star")
-        if (is_now := mark(now)) == last or not is_now[0]:
-            return now
-        last = is_now
-
-
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "bigint") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable by links).
 
@@ -132,13 +111,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "
     fps = written(fingerprints(docs, shingle, id_type), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
     edges = written(links(classes.select("fp"), segment_plan(classes.count())), "links")
-    stars = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    # Nodes of a component with the smallest doc_id of each: roots are nodes too. Large components and groups of copies are split.
-    nodes = written(stars.union(stars.select("root", "root").distinct()).join(classes, "fp").select("fp", "root", "doc_id"), "component-nodes")
-    least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = written(join_split(nodes, least, "root").select("fp", "component_id", F.lit(True).alias("linked")), "components")
-    by_fp = classes.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return join_split(fps, by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = component_ids(fps, classes, edges, "fp")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

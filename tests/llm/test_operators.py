@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emulsa.llm import common, decontaminate, licenses, lines, mixing, pii, quality, simhash, tokens, toxicity, warc
+from emulsa.llm import common, components, decontaminate, licenses, lines, mixing, pii, quality, simhash, tokens, toxicity, warc
 
 from ..conftest import SF
 
@@ -296,7 +296,7 @@ def test_all_plans_find_all_links(spark, c):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 100)], "a long, b long")
-    assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in [*range(1, 41), 100, 101]}
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in [*range(1, 41), 100, 101]}
 
 
 def test_hot_keys_are_split(spark):
