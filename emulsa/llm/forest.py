@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_split, pinned, table, written
+from .common import join_split, pinned, row_key, table, written
 from .components import component_ids, components
 
 SHINGLE, SIMILARITY = 5, 85
@@ -65,21 +65,25 @@ def signature(hashes: np.ndarray, n: int = TREES * OWN) -> np.ndarray:
     return (mixed >> np.uint64(48)).astype(">u2")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "bigint") -> DataFrame:
-    """doc_id, n, node (empty for an empty set), signature, hashes of every row."""
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, whole: bool = False) -> DataFrame:
+    """docs (its last column is text) with, in place of text: n, node (empty for an empty set), signature; or, if whole, hashes."""
+    kept = docs.columns[:-1]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept) + "n bigint, node binary, " + ("hashes array<bigint>" if whole else "signature binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                sets = [shingles(x.as_py() or b"", shingle) for x in batch.column(1).cast(pa.binary())]
+        for all_rows in batches:
+            for lo in range(0, all_rows.num_rows, 500):
+                batch = all_rows.slice(lo, 500)
+                *others, texts = batch.columns
+                sets = [shingles(x.as_py() or b"", shingle) for x in texts.cast(pa.binary())]
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else NO_NODE for s in sets]
-                signs = [signature(s).tobytes() if len(s) else NO_NODE for s in sets]
-                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(signs, pa.binary()), hashes], ["doc_id", "n", "node", "signature", "hashes"])
+                if whole:
+                    last = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                else:
+                    last = pa.array([signature(s).tobytes() if len(s) else NO_NODE for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*others, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), last], [*kept, "n", "node", "hashes" if whole else "signature"])
 
-    return pinned(docs, {"doc_id": id_type, "text": "string"}).mapInArrow(run, f"doc_id {id_type}, n bigint, node binary, signature binary, hashes array<bigint>")
+    return docs.mapInArrow(run, schema)
 
 
 def _may_link(n: Column, m: Column, similarity: int) -> Column:
@@ -127,10 +131,8 @@ def neighbours(classes: DataFrame, similarity: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """a, b of the pairs of nodes (a < b, no repeats) whose whole sets are as similar; pairs is a written table, sets has node and hashes."""
-    members = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    wanted = sets.join(members, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    side = lambda name: wanted.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
+    """a, b of the pairs of nodes (a < b, no repeats) whose whole sets are as similar; sets has node and hashes, a row a node."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(100 * common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
@@ -162,17 +164,6 @@ def region_pairs(entries: DataFrame, similarity: int, region: int = REGION) -> D
     return whole.distinct()
 
 
-def near_links(classes: DataFrame, sets: DataFrame, similarity: int = SIMILARITY, region: int = REGION) -> DataFrame:
-    """a, b: links between nodes that join all nodes whose sets are as similar; classes: node, n, signature, a row a node."""
-    live = written(neighbours(classes, similarity), "forest")
-    chains = written(live.filter(F.col("next").isNotNull()).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
-    first = written(confirmed(chains, sets, similarity), "chain-links")
-    roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    entries = live.join(roots, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component"))
-    pairs = written(region_pairs(entries, similarity, region), "region-pairs")
-    return written(first.union(confirmed(pairs, sets, similarity)), "near-links")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, region: int = REGION, id_type: str = "bigint") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept (whether it is that).
 
@@ -182,11 +173,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     they are kept only if no row of the component has a doc_id. An empty table gives an empty result. Other columns are
     ignored. A text's set is held whole by a task, 8 bytes a shingle. id_type: the type of doc_id, any that has an order.
     """
-    sets = written(shingle_sets(docs, shingle, id_type), "shingle-sets")
-    some = sets.filter("n > 0")
-    classes = written(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "set-classes")
-    links = near_links(classes.select("node", "n", "signature"), some.select("node", "hashes"), similarity, region)
-    named = component_ids(sets.select("doc_id", "n", "node"), classes.select("node", "doc_id"), links, "node")
+    docs = pinned(docs, {"doc_id": id_type, "text": "string"}).select("doc_id", row_key("text").alias("text_key"), "text")
+    signed = written(shingle_sets(docs, shingle), "set-signatures")
+    one = F.min(F.struct("doc_id", "text_key"))  # nulls first: min() of doc_id alone would pass over them
+    classes = written(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), one.alias("one"), F.first("n").alias("n"), F.first("signature").alias("signature")), "set-classes")
+
+    live = written(neighbours(classes.select("node", "n", "signature"), similarity), "forest")
+    # Sets are made anew for a text of each node that has a neighbour, which are few, rather than written for all.
+    wanted = written(classes.join(live.select("node").distinct(), "node", "left_semi").select("one"), "set-texts")
+    texts = docs.join(wanted, F.struct("doc_id", "text_key").eqNullSafe(F.col("one")), "left_semi").select("text")
+    sets = written(shingle_sets(texts, shingle, whole=True).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+    chains = written(live.filter(F.col("next").isNotNull()).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
+    first = written(confirmed(chains, sets, similarity), "chain-links")
+    roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    entries = live.join(roots, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component"))
+    pairs = written(region_pairs(entries, similarity, region), "region-pairs")
+    links = written(first.union(confirmed(pairs, sets, similarity)), "near-links")
+
+    named = component_ids(signed.select("doc_id", "n", "node"), classes.select("node", "doc_id"), links, "node")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -109,7 +109,7 @@ def test_chains_spare_regions_of_one_component(spark):
         w = list(base)
         w[rnd.randrange(300)] = f"x{k}"
         docs.append((k, " ".join(w)))
-    sets = forest.written(forest.shingle_sets(spark.createDataFrame(docs, PAIRS)), "sets")
+    sets = forest.written(forest.shingle_sets(spark.createDataFrame(docs, PAIRS).select("text")), "sets")
     live = forest.written(forest.neighbours(sets.select("node", "n", "signature"), 85), "live")
     chains = live.filter("next is not null")
     assert chains.count() <= forest.CHAINS * 800 and live.count() > 0.9 * forest.TREES * 800
