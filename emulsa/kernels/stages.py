@@ -383,15 +383,18 @@ def global_grain(x: np.ndarray, p: dict, at: Place) -> np.ndarray:
     return x
 
 
-def render(x: np.ndarray, p: dict, at: Place) -> np.ndarray:
-    """All stages, in order, on one padded tile of the working frame."""
+def _graded(x: np.ndarray, p: dict, at: Place) -> np.ndarray:
     s = at.scale
-    x = grade(normalize(x, p, at.meter), p, at)
+    x = grade(x, p, at)
     if p["pre_blur"] * s >= 0.05:
         x = clamp(display(blur(linear(x), p["pre_blur"] * s)))
     if p["pre_sharpen"] > 0.01:
         x = clamp(x + (x - blur(x, max(0.3, p["pre_sharpen_radius"] * s))) * p["pre_sharpen"])
-    x = structure(x.astype(f32), p, at)
+    return x.astype(f32)
+
+
+def _finished(x: np.ndarray, p: dict, at: Place) -> np.ndarray:
+    s = at.scale
     x = tone(halation(x, p, s), p)
     x = marks.film_texture(x, p, at)
     x = global_grain(x, p, at)
@@ -400,20 +403,49 @@ def render(x: np.ndarray, p: dict, at: Place) -> np.ndarray:
     return clamp(x).astype(f32)
 
 
-def render_supersampled(x: np.ndarray, p: dict, at: Place, supersample: float) -> np.ndarray:
-    """render() on a finer or coarser grid and back, then the master opacity; at is in pixels of x."""
-    if p["master_opacity"] <= 0:
-        return x
+#: All stages, in order. Between two parts the picture is all that later stages read, so it can be kept there.
+PARTS = (lambda x, p, at: normalize(x, p, at.meter), _graded, structure, _finished)
+#: The section that begins after each part but the last.
+BOUNDARIES = ("Colour Grading", "Grain Structure", "Halation")
+
+
+def render(x: np.ndarray, p: dict, at: Place, first: int = 0, last: int = len(PARTS)) -> np.ndarray:
+    """Parts first to last - 1 on one padded tile of the working frame."""
+    for part in PARTS[first:last]:
+        x = part(x, p, at)
+    return x
+
+
+def working_shape(h: int, w: int, supersample: float) -> tuple[int, int]:
+    return max(1, round(h * supersample)), max(1, round(w * supersample))
+
+
+def enlarged(x: np.ndarray, supersample: float) -> np.ndarray:
+    """A tile on the working grid."""
+    return x if supersample == 1 else clamp(resample(x, *working_shape(*x.shape[-2:], supersample), False))
+
+
+def working_place(at: Place, h: int, supersample: float) -> Place:
+    """at, of a tile of so many rows, in working pixels."""
+    if supersample == 1:
+        return at
+    k = working_shape(h, 1, supersample)[0] / h
+    return Place(round(at.y0 * k), round(at.x0 * k), round(at.frame_h * k), round(at.frame_w * k), at.scale * k, at.lut, at.meter)
+
+
+def reduced(fine: np.ndarray, x: np.ndarray, p: dict, supersample: float) -> np.ndarray:
+    """A rendered tile on the grid of its source x, then the master opacity."""
     if supersample == 1:
-        out = render(x, p, at)
+        out = fine
+    elif supersample == int(supersample):
+        out = box_pool(fine, int(supersample))
     else:
-        h, w = x.shape[-2:]
-        fine_h, fine_w = max(1, round(h * supersample)), max(1, round(w * supersample))
-        k = fine_h / h
-        place = Place(round(at.y0 * k), round(at.x0 * k), round(at.frame_h * k), round(at.frame_w * k), at.scale * k, at.lut, at.meter)
-        fine = render(clamp(resample(x, fine_h, fine_w, False)), p, place)
-        if supersample == int(supersample):
-            out = box_pool(fine, int(supersample))
-        else:
-            out = clamp(resample(fine, h, w, supersample > 1, "linear" if supersample > 1 else "cubic"))
+        out = clamp(resample(fine, *x.shape[-2:], supersample > 1, "linear" if supersample > 1 else "cubic"))
     return out if p["master_opacity"] >= 1 else x + (out - x) * f32(p["master_opacity"])
+
+
+def render_supersampled(x: np.ndarray, p: dict, at: Place, supersample: float) -> np.ndarray:
+    """render() on a finer or coarser grid and back; at is in pixels of x."""
+    if p["master_opacity"] <= 0:
+        return x
+    return reduced(render(enlarged(x, supersample), p, working_place(at, x.shape[-2], supersample)), x, p, supersample)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emulsa.kernels.stages import Place, render_supersampled
+from emulsa.kernels.stages import PARTS, Place, enlarged, reduced, working_place, working_shape
+from emulsa.kernels.stages import render as render_parts
 from emulsa.plans.planner import Plan, tile_grid
 
 FRAME = "image_id string, h int, w int, planes binary"
@@ -45,26 +46,38 @@ def cut(frames: DataFrame, plan: Plan) -> DataFrame:
     return frames.select("image_id", "h", "w", "planes").mapInArrow(run, TILE)
 
 
-def render_tiles(tiles: DataFrame, plan: Plan, meter: DataFrame | None = None) -> DataFrame:
-    """Tiles with their padded planes, to tiles with the rendered core. meter: a row of METER for each image."""
+def render_tiles(tiles: DataFrame, plan: Plan, meter: DataFrame | None = None, first: int = 0, last: int = len(PARTS)) -> DataFrame:
+    """Tiles with their padded planes, to tiles with the rendered core. meter: a row of METER for each image.
+
+    first and last choose parts of the stages: from a part on, tiles have their padded working picture in the column fine;
+    up to a part that is not the last one, they get it there.
+    """
     types = [pa.string(), *[pa.int32()] * 12, pa.binary()]
     if meter is not None:
         tiles = tiles.join(meter.select("image_id", F.struct(*METER).alias("meter")), "image_id", "left")
     else:
         tiles = tiles.withColumn("meter", F.lit(None).cast("struct<norm_ev:double>"))
+    ends, begun = last == len(PARTS), ["fine"] if first else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                r = {n: batch.column(n)[k].as_py() for n in [*NAMES, "meter"]}
-                x = planes_of(r["planes"], r["py_b"] - r["py_a"], r["px_b"] - r["px_a"])
-                place = Place(r["py_a"], r["px_a"], r["frame_h"], r["frame_w"], plan.scale, plan.lut, r["meter"] or {})
-                y = x if plan.neutral else render_supersampled(x, plan.params, place, plan.supersample)
+                r = {n: batch.column(n)[k].as_py() for n in [*NAMES, *begun, "meter"]}
+                h, w = r["py_b"] - r["py_a"], r["px_b"] - r["px_a"]
+                x = planes_of(r["planes"], h, w)
+                place = working_place(Place(r["py_a"], r["px_a"], r["frame_h"], r["frame_w"], plan.scale, plan.lut, r["meter"] or {}), h, plan.supersample)
+                y = planes_of(r["fine"], *working_shape(h, w, plan.supersample)) if first else enlarged(x, plan.supersample)
+                y = render_parts(y, plan.params, place, first, last)
+                if not ends:
+                    r["fine"] = np.ascontiguousarray(y, dtype="<f4").tobytes()
+                    yield _batch([tuple(r[n] for n in [*NAMES, "fine"])], [*types, pa.binary()], [*NAMES, "fine"])
+                    continue
+                y = reduced(y, x, plan.params, plan.supersample)
                 core = y[:, r["y_a"] - r["py_a"] : r["y_b"] - r["py_a"], r["x_a"] - r["px_a"] : r["x_b"] - r["px_a"]]
                 r["planes"] = np.ascontiguousarray(core, dtype="<f4").tobytes()
                 yield _batch([tuple(r[n] for n in NAMES)], types, NAMES)
 
-    return tiles.select(*NAMES, "meter").mapInArrow(run, TILE)
+    return tiles.select(*NAMES, *begun, "meter").mapInArrow(run, TILE if ends else f"{TILE}, fine binary")
 
 
 def stitch(tiles: DataFrame) -> DataFrame:
