@@ -10,8 +10,9 @@ windows in which the spaced masks would miss one (short items of some lengths),
 agree side by side somewhere, the whole item where no substitution is allowed. Such masks are only made for lengths that
 the benchmark has.
 
-The benchmark's side is broadcast only up to MAX_BROADCAST seeds (a count decides); then nothing is shuffled but the different
-surroundings of hits. Beyond that the seeds are joined without the texts.
+A seed of the benchmark carries the tokens that a window over it can reach (25 at most), never its item. The benchmark's side
+is broadcast only up to MAX_BROADCAST bytes, which are counted; then nothing is shuffled but the different surroundings of
+hits. Beyond that the seeds are joined without the texts, and Spark splits seeds that many rows have.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .common import let, pinned, row_key, table, text_of, upto, written
 #: Five tokens count in each; the residues of their places differ, so that regular substitutions miss one of them.
 MASKS = ("1101101", "11001011", "110100101")
 TOKENS, SIMILARITY = 13, 0.8
-MAX_BROADCAST = 500_000
+#: Bytes of the benchmark's seeds, as rows in memory, that are broadcast; tokens of an item that are seeded together.
+MAX_BROADCAST, SEGMENT = 64_000_000, 1_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -61,11 +63,32 @@ def _spread(df: DataFrame, tokens: str, masks: tuple[str, ...]) -> DataFrame:
     return hashed.select(*df.columns, F.posexplode_outer("seeds").alias("at", "seed")).filter(F.col("seed").isNotNull()).withColumn("k", F.col("at") % len(masks)).withColumn("at", F.floor(F.col("at") / len(masks)).cast("int"))
 
 
-def _best(doc: Column, item: Column, diagonal: Column, at: Column, tokens: int) -> Column:
-    """The largest share of agreeing tokens in a window of min(tokens, size of the item) tokens that holds place at of the item; the document's token is diagonal further on."""
-    window = F.least(F.lit(tokens), F.size(item))
-    lo, hi = F.greatest(F.lit(0), at - window + 1), F.least(F.size(item) - 1, at + window - 1)
-    agree = F.transform(F.sequence(lo, hi), lambda i: F.when((i + diagonal >= 0) & F.get(doc, i + diagonal).eqNullSafe(F.get(item, i)), 1).otherwise(0))
+def _pieces(items: DataFrame, own: Column, masks: tuple[str, ...], tokens: int) -> DataFrame:
+    """item_id, seed, piece (the tokens that windows over the seed's first one reach), piece_at (that token's place in it), window.
+
+    Items are cut into segments first, so that what a row holds does not grow with the item.
+    """
+    window = F.least(F.lit(tokens), F.size("item"))
+    margin = max(tokens, *map(len, masks))
+    cut = items.select("item_id", "item", window.alias("window"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.size("item") - 1, F.lit(SEGMENT))).alias("from")).filter(F.size("item") > 0)
+    # Tokens of a segment, and so many before and after it; left is how many there are before.
+    left = F.least(F.col("from"), F.lit(margin))
+    cut = cut.select("item_id", "window", "own", left.alias("left"), F.slice("item", F.col("from") - left + 1, left + (SEGMENT + margin)).alias("part"), F.least(F.lit(SEGMENT), F.size("item") - F.col("from")).alias("n"))
+    hashed = cut.select("*", _seeds(F.col("part"), masks).alias("seeds"))
+
+    def told(i: Column) -> Column:
+        at = F.floor(i / len(masks)).cast("int")
+        lo = F.greatest(F.lit(0), at - F.col("window") + 1)
+        return F.struct(F.get("seeds", i).alias("seed"), F.slice("part", lo + 1, at - lo + F.col("window")).alias("piece"), (at - lo).alias("piece_at"))
+
+    first, last = F.col("left") * len(masks), F.least(F.size("seeds"), (F.col("left") + F.col("n")) * len(masks))
+    held = F.filter(F.transform(upto(last - first), lambda i: i + first), lambda i: F.get("seeds", i).isNotNull() & F.array_contains("own", i % len(masks)))
+    return hashed.select("item_id", "window", F.explode(F.transform(held, told)).alias("s")).select("item_id", "window", "s.*")
+
+
+def _best(doc: Column, piece: Column, shift: Column, window: Column) -> Column:
+    """The largest share of agreeing tokens in a window of the piece; the document's token is shift further on."""
+    agree = F.transform(piece, lambda x, i: F.when((i + shift >= 0) & F.get(doc, i + shift).eqNullSafe(x), 1).otherwise(0))
 
     def windows(x: Column) -> Column:
         counts = F.transform(upto(F.size(x) - window + 1), lambda i: F.aggregate(F.slice(x, i + 1, window), F.lit(0), lambda a, y: a + y))
@@ -78,6 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     """doc_id, item_id, similarity of each document and benchmark item that share a passage; each pair once.
 
     Null texts are empty, and an item without tokens is found nowhere. Empty tables give an empty result.
+    Texts and items may be of any length: a document's tokens are one row's, an item is seeded in segments.
     Rows with the same doc_id (or none: null is a doc_id of its own) are reported together, as are items with the same
     item_id. Other columns are ignored. id_type: the type of doc_id.
     """
@@ -87,8 +111,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     by_length = {n: masks_for(n, similarity, masks) for n in lengths}
     masks = tuple(dict.fromkeys(m for n in lengths for m in by_length[n])) or masks
     own = F.coalesce(*[F.when(F.least(F.size("item"), F.lit(tokens)) == n, F.array(*[F.lit(masks.index(m)) for m in by_length[n]])) for n in lengths], F.array().cast("array<int>"))
-    known = written(_spread(items, "item", masks).filter(F.array_contains(own, F.col("k"))).select("item_id", "item", F.col("at").alias("item_at"), "seed"), "benchmark-seeds")
-    few = known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    known = written(_pieces(items, own, masks, tokens), "benchmark-seeds")
+    size = known.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "piece")) + 16 * F.size("piece") + 64), F.lit(0))).first()[0]
+    few = size <= MAX_BROADCAST
     bound = F.broadcast if few else (lambda df: df)
     wanted = known.select("seed").distinct()
     rows = docs.select("doc_id", tokens_of(text_of()).alias("doc"))
@@ -102,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     around = hits.select("doc_id", "seed", before.alias("before"), F.slice("doc", F.col("at") - before + 1, F.lit(2 * tokens - 1)).alias("around"))
     # A text that repeats itself has few different surroundings, however many places.
     found = around.distinct().join(bound(known), "seed")
-    scored = found.select("doc_id", "item_id", _best(F.col("around"), F.col("item"), F.col("before") - F.col("item_at"), F.col("item_at"), tokens).alias("similarity"))
+    scored = found.select("doc_id", "item_id", _best(F.col("around"), F.col("piece"), F.col("before") - F.col("piece_at"), F.col("window")).alias("similarity"))
     # The limit comes after the aggregate: before it, it would become part of the join and take it out of the stage's code.
     return scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= similarity)
 

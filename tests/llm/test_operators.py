@@ -503,6 +503,25 @@ def test_every_allowed_substitution_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_long_items(spark, monkeypatch):
+    """Items of some thousand tokens: what a seed carries does not grow, and passages across segments are found."""
+    rng = np.random.default_rng(6)
+    items = [(k, [f"w{x}" for x in rng.integers(0, 4_000, 3_000 + k)]) for k in range(40)]
+    kept = []
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: kept.append(common.written(df, name)) or kept[-1])
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string").repartition(4)
+    places = [(3, 0), (5, 990), (7, 995), (9, 1_000), (11, 1_987), (39, 3_026)]
+    rows_ = [(1_000 + n, ["x"] * 4 + [t if i != 4 else "y" for i, t in enumerate(items[k][1][at : at + 13])] + ["x"] * 4) for n, (k, at) in enumerate(places)] + [(2_000, [f"z{i}" for i in range(50)])]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in rows_], "doc_id long, text string")
+    want = {(1_000 + n, k): 12 / 13 for n, (k, _) in enumerate(places)}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(d, b).collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    seeds = sum(len(t) for _, t in items) * 3
+    assert 0.98 * seeds < kept[0].count() <= seeds and kept[0].agg(F.max(F.size("piece"))).first()[0] == 25
+    monkeypatch.setattr(decontaminate, "SEGMENT", 7)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b.filter("item_id < 12")).collect()} == {x for x in want if x[1] < 12}
+
+
 def test_decontaminate_odd(spark, odd, none):
     b = spark.createDataFrame([(None, None), (1, ""), (2, "word " * 20), (2, "word " * 20), (3, "short item"), (4, "ONE, two three")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, b).collect()} == {(5, 2), (None, 4)}
