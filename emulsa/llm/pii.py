@@ -2,8 +2,8 @@
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by pattern; secrets (tokens, keys, passwords)
 are seeded by what they are assigned to. Bootstrapping: every token that looks like an identifier (it has a digit or an @, and
-MIN_LENGTH characters at least) is an instance, and so are runs of up to MAX_PARTS numeric tokens and addresses with a
-spelled-out at sign, with the words on the left and right as context; instances that are a span of the base are seeds of its
+MIN_LENGTH characters at least, and is no number between numbers) is an instance, and so are the first and the last up to
+MAX_PARTS tokens of a numeric run and addresses with a spelled-out at sign, with the words on the left and right as context; instances that are a span of the base are seeds of its
 kind. A part of a longer numeric run is judged, but is no evidence. A pattern is a kind's left word, right word, or both.
 
 In each round patterns are scored by their instances, then instances by their patterns. A pattern's confidence for a kind is
@@ -11,7 +11,7 @@ the mean over its distinct instances: seeds of the kind count 1, instances that
 others 0; it needs MIN_SEEDS instances that count, and is weighed by their number. An instance is accepted with the score of
 its best pattern if that is MIN_CONFIDENCE or more and if it could be of the kind at all (LIKE, and the number of digits).
 Accepted instances are evidence in the next round, so they induce patterns in contexts that no seed has; rounds end when
-nothing changes, after ROUNDS at most. What is accepted becomes a span of its kind; of overlapping ones the longest.
+nothing changes (a round without news is the last; ROUNDS only guards against scores that swing). What is accepted becomes a span of its kind; of overlapping ones the longest.
 
 All of it is column expressions, one pass over the texts into a narrow table of instances, and aggregates by pattern; a
 frequent context is summed before it is shuffled, and only patterns that hold (a few) meet the instances again.
@@ -42,7 +42,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 ASSIGNED = r"(?:token|secret|passw(?:or)?d|(?:api|access|private)[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
 SECRET_SEED, SECRET_HINT = rf"(?i)(?<={ASSIGNED})(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{{16,}}+", rf"(?i){ASSIGNED}[A-Za-z0-9+/_.~-]{{16}}"
 
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_LENGTH = 3, 5, 0.9, 7
+ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_LENGTH = 20, 5, 0.9, 7
 #: A token that may be an identifier, with the word before and after it.
 TOKEN = r"(?<![^\s])(?=[^\s]*(?:[0-9]|@))[^\s]{%d,}" % MIN_LENGTH
 #: Numeric tokens in a run are read together, so many at most.
@@ -119,7 +119,10 @@ def secret_spans(text: Column) -> Column:
 
 
 def _parts(run: Column) -> Column:
-    """All stretches of 2 to MAX_PARTS numeric tokens of a run, by the number of digits that a kind allows, each with the run's tokens around it."""
+    """The first and the last 2 to MAX_PARTS numeric tokens of a run, by the number of digits that a kind allows, with what stands around them.
+
+    Stretches from within a run have numbers on both sides and so no context; without them a run gives so many at most, however long it is.
+    """
 
     def stretches(p: Column) -> Column:
         # Tokens of a run stand one space apart, or more; a stretch is put together from its tokens and what is between them.
@@ -128,7 +131,8 @@ def _parts(run: Column) -> Column:
         before = lambda i: F.when(i > 0, F.concat(F.lit(" "), F.get(p, i - 1)["text"], F.lit(" "))).otherwise(run["before"])
         after = lambda i: F.when(i < F.size(p), F.concat(F.lit(" "), F.get(p, i)["text"], F.lit(" "))).otherwise(run["after"])
         one = lambda i, n: F.struct((run["start"] + F.get(p, i)["start"]).alias("start"), (run["start"] + F.get(p, i + n - 1)["end"]).alias("end"), whole(i, n).alias("text"), before(i).alias("before"), after(i + n).alias("after"))
-        return F.flatten(F.transform(F.sequence(F.lit(2), F.lit(MAX_PARTS)), lambda n: F.transform(upto(F.size(p) - n + 1), lambda i: one(i, n))))
+        some = F.transform(F.sequence(F.lit(2), F.lit(MAX_PARTS)), lambda n: F.when(F.size(p) == n, F.array(one(F.lit(0), n))).when(F.size(p) > n, F.array(one(F.lit(0), n), one(F.size(p) - n, n))))
+        return F.flatten(F.filter(some, lambda x: x.isNotNull()))
 
     return F.filter(let(found(run["text"], r"[^\x20]+"), stretches), lambda x: F.length(_digits(x["text"])).between(4, 19))
 
@@ -149,7 +153,10 @@ def _instances(text: Column) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>")
     runs = F.when(text.rlike(RUN), F.flatten(F.transform(found(text, RUN, CONTEXT), _parts))).otherwise(none)
     spelled = F.when(text.rlike(SPELLED_HINT), found(text, SPELLED, CONTEXT)).otherwise(none)
-    all_of = F.concat(F.when(text.rlike("[0-9@]"), found(text, TOKEN, CONTEXT)).otherwise(none), runs, spelled)
+    # A number between numbers has no context: tables and logs are full of them.
+    between = lambda x: x["before"].rlike(rf"(?:^|\s){NUMERIC}\s+$") & x["after"].rlike(rf"^\s+{NUMERIC}(?:\s|$)") & x["text"].rlike(rf"^{NUMERIC}$")
+    tokens = F.when(text.rlike("[0-9@]"), F.filter(found(text, TOKEN, CONTEXT), lambda x: ~between(x))).otherwise(none)
+    all_of = F.concat(tokens, runs, spelled)
     return F.transform(all_of, one)
 
 
@@ -250,12 +257,12 @@ def _tagged(spans: Column, k: int) -> Column:
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and base_sha256 of the base; spans are those of its kinds, secrets have columns of their own; n_found counts all."""
+    """Counts and base_sha256 of the base; spans and n_found of all, secrets included, which have columns of their own too."""
     found = personal_data(table(spark, sf_dir, "documents"))
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    own, secret = F.filter("spans", lambda x: x["kind"] != SECRET), F.filter("spans", lambda x: x["kind"] == SECRET)
+    secret = F.filter("spans", lambda x: x["kind"] == SECRET)
     return found.select(
-        "doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(own).alias("spans"),
+        "doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
         F.size(secret).cast("long").alias("n_secret"), told(secret).alias("secrets"), F.size("spans").cast("long").alias("n_found"),
     )

@@ -446,6 +446,23 @@ def test_long_texts_of_many_identifiers(spark):
     assert len(r.base) == 40_000 and (r.base[-1].kind, r.base[-1].start) == ("ip", 19_999 * 25 + 1)
 
 
+def test_numeric_tables(spark, monkeypatch):
+    """What is kept of numbers between numbers does not grow with them; what stands at the ends of a line of them is found."""
+    rng = np.random.default_rng(7)
+    numbers = lambda n, gap: gap.join(str(x) for x in rng.integers(10**6, 10**7, n))
+    kept = {}
+    monkeypatch.setattr(pii, "written", lambda df, name: kept.setdefault(name, common.written(df, name)))
+    d = [(i, numbers(20_000, gap)) for i, gap in enumerate((" ", "\t", "\n", "  "))] + [(9, "192.168.0.1 " + numbers(3_000, " ") + " +1 (555) 010-9999")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert [x.kind for x in got[9].base][0] == "ip" and all([tuple(x) for x in got[i].base] == plain_spans(t) for i, t in d)
+    assert kept["pii"].agg(F.sum(F.size("instances"))).first()[0] < 100
+
+
+def test_spans_hold_secrets_too(spark):
+    r = [x for x in pii.op5_personal_data(spark, SF.replace("sf0.001", "sf0.01")).collect() if x.secrets]
+    assert r and all(set(x.secrets.split(",")) <= set(x.spans.split(",")) and x.n_found == len(x.spans.split(",")) for x in r)
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
