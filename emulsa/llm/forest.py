@@ -8,8 +8,9 @@ at DEPTH values the region is compared as it is. So depth follows density and no
 
 Two rounds find what links. In the first, neighbours side by side in CHAINS of the orders are confirmed: these chains go
 through groups of copies of any size with a pair or two for each entry. In the second, regions are compared, but only across
-the components of the first, which is nothing in regions of one component. Candidates whose sizes rule a link out, or of
-which under AGREE of DEPTH values agree, are dropped (a link at 0.85 does so in a region with a probability under 1e-8).
+the components of the first, which is nothing in regions of one component. Candidates whose sizes rule a link out are dropped, and those
+of which under AGREE of a key's DEPTH values or under ALIKE of the signature's values agree (80 of 128 lie seven
+standard errors under what a link at 0.85 has in the mean).
 
 Documents with the same set are one node; a node is 128 bits of hash of its set. Two sets that link share a region of LEAST
 values in a tree with probability 0.61 or more, so 16 trees miss them with one of under 1e-6; regions that need d values
@@ -32,8 +33,11 @@ from .components import component_ids, components
 SHINGLE, SIMILARITY = 5, 85
 TREES, OWN, DEPTH, LEAST = 16, 8, 16, 3
 #: Depths by which a region that is too large is divided, and the most entries of one that is not.
-DEPTHS, REGION = (LEAST, 4, 6, 8, 12, DEPTH), 32
-CHAINS, AGREE = 3, 6
+DEPTHS, REGION = (LEAST, 4, 6, 8, 12, DEPTH), 48
+#: Orders whose chains are confirmed first; values of a key, and of a signature, that must agree in a pair.
+CHAINS, AGREE, ALIKE = 3, 6, 80
+#: Entries from which regions with many of them are looked for; texts of which the keys are broadcast.
+MANY, MAX_BROADCAST = 1_000_000, 1_000_000
 NO_NODE = b""
 
 
@@ -138,6 +142,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of nodes of whose signatures at least ALIKE values agree."""
+    side = lambda name: classes.select(F.col("node").alias(name), F.col("signature").alias(f"of_{name}"))
+    agree = F.aggregate(F.sequence(F.lit(0), F.lit(TREES * OWN - 1)), F.lit(0), lambda n, i: n + F.when(F.substring("of_a", 2 * i + 1, F.lit(2)) == F.substring("of_b", 2 * i + 1, F.lit(2)), 1).otherwise(0))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(agree >= ALIKE).select("a", "b")
+
+
 def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -145,11 +156,12 @@ def _pair(x: Column, y: Column) -> list[Column]:
 def region_pairs(entries: DataFrame, similarity: int, region: int = REGION) -> DataFrame:
     """a, b: pairs of nodes of different components in a region that may link; entries (a written table): tree, key, node, n, component."""
     found, left = [], entries
+    meet = (lambda of, mixed: join_split(written(of, "forest-entries"), mixed, "region")) if entries.count() >= MANY else (lambda of, mixed: of.join(mixed, "region"))
     for depth in DEPTHS:
         prefix = F.concat(F.encode(F.col("tree").cast("string"), "utf-8"), F.expr(f"substring(key, 1, {2 * depth})"))
         of = left.withColumn("region", prefix)
         mixed = of.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("region", "size")
-        placed = written(join_split(written(of, "forest-entries"), written(mixed, "forest-regions"), "region"), "forest-entries")
+        placed = written(meet(of, written(mixed, "forest-regions")), "forest-entries")
         small = placed.filter(F.col("size") <= region) if depth < DEPTH else placed
         left = placed.filter(F.col("size") > region).select(entries.columns)
         agree = sum(F.when(F.expr(f"substring(l.key, {2 * i + 1}, 2) = substring(r.key, {2 * i + 1}, 2)"), 1).otherwise(0) for i in range(depth, DEPTH))
@@ -181,14 +193,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     live = written(neighbours(classes.select("node", "n", "signature"), similarity), "forest")
     # Sets are made anew for a text of each node that has a neighbour, which are few, rather than written for all.
     wanted = written(classes.join(live.select("node").distinct(), "node", "left_semi").select("one"), "set-texts")
-    texts = docs.join(wanted, F.struct("doc_id", "text_key").eqNullSafe(F.col("one")), "left_semi").select("text")
+    few = wanted.count() <= MAX_BROADCAST
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.struct("doc_id", "text_key").eqNullSafe(F.col("one")), "left_semi").select("text")
     sets = written(shingle_sets(texts, shingle, whole=True).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
     chains = written(live.filter(F.col("next").isNotNull()).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
     first = written(confirmed(chains, sets, similarity), "chain-links")
     roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    entries = live.join(roots, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component"))
-    pairs = written(region_pairs(entries, similarity, region), "region-pairs")
+    entries = written(live.join(roots, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component")), "forest-entries")
+    pairs = written(alike(region_pairs(entries, similarity, region), classes), "region-pairs")
     links = written(first.union(confirmed(pairs, sets, similarity)), "near-links")
 
     named = component_ids(signed.select("doc_id", "n", "node"), classes.select("node", "doc_id"), links, "node")
