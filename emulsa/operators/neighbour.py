@@ -1,4 +1,8 @@
-"""Neighbourhood operators on the long layout. Each line of pixels becomes an array, so an axis costs one exchange and no self-join; a line is as long as a frame is wide."""
+"""Neighbourhood operators on the long layout, an axis at a time, without self-joins.
+
+Lines are cut into blocks of bounded length, each with as many pixels of its neighbours as the operator reaches; a row holds a
+block, however long the line is, and an axis costs one exchange.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +14,31 @@ from pyspark.sql import functions as F
 
 from emulsa.functions import colour as C
 
+#: Pixels of a block, if the reach is no longer than that.
+BLOCK = 1024
+
+
+def _blocks(df: DataFrame, axis: str, keys: list[str], cols: list[str], reach: int) -> tuple[DataFrame, int]:
+    """A row for each block of a line: keys, block, line (array of axis and cols, in order, with the pixels within reach of the block); and the length of blocks.
 
-def along(df: DataFrame, axis: str, cols: list[str], f) -> DataFrame:
-    """df with cols replaced by f(values of the line, place in it), lines along axis ("x" or "y")."""
+    An array ends before its block's reach only where the line does. So what is done at the ends of an array, such as reflection,
+    is done at the ends of the line.
+    """
+    n = max(BLOCK, reach)
+    at = lambda x: F.floor(x / n).cast("int")
+    each = df.withColumn("block", F.explode(F.sequence(at(F.greatest(F.col(axis) - reach, F.lit(0))), at(F.col(axis) + reach)))) if reach else df.withColumn("block", at(F.col(axis)))
+    lines = each.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct(axis, *cols))).alias("line"))
+    # Past the end of a line there are blocks with none of their own pixels.
+    return lines.filter(F.get("line", F.size("line") - 1)[axis] >= F.col("block") * n), n
+
+
+def along(df: DataFrame, axis: str, cols: list[str], f, reach: int) -> DataFrame:
+    """df with cols replaced by f(values of the block, place in it), lines along axis ("x" or "y"); f looks no further than reach."""
     across = "y" if axis == "x" else "x"
     rest = [c for c in df.columns if c not in (axis, across, "image_id", *cols)]
-    line = df.groupBy("image_id", across).agg(F.sort_array(F.collect_list(F.struct(axis, *cols, *rest))).alias("line"))
-    lists = line.select("image_id", across, "line", *[F.col(f"line.{c}").alias(f"all_{c}") for c in cols])
-    out = lists.select("image_id", across, F.posexplode("line").alias("i", "e"), *[f"all_{c}" for c in cols])
+    line, n = _blocks(df, axis, ["image_id", across], [*cols, *rest], reach)
+    lists = line.select("image_id", across, "block", "line", *[F.col(f"line.{c}").alias(f"all_{c}") for c in cols])
+    out = lists.select("image_id", across, "block", F.posexplode("line").alias("i", "e"), *[f"all_{c}" for c in cols]).filter(F.floor(F.col(f"e.{axis}") / n) == F.col("block"))
     values = [f(F.col(f"all_{c}"), F.col("i")).alias(c) for c in cols]
     return out.select("image_id", across, F.col(f"e.{axis}").alias(axis), *[F.col(f"e.{c}").alias(c) for c in rest], *values).select(df.columns)
 
@@ -29,8 +50,10 @@ def taps(sigma: float, limit: int = 1 << 20) -> list[tuple[int, float]]:
 
 
 def _reflected(values: Column, at: Column) -> Column:
-    n = F.size(values)
-    return F.get(values, n - 1 - F.abs(n - 1 - F.abs(at)))
+    """The value at a place, reflected at both ends, without the ends' own values, as often as it takes."""
+    turn = F.greatest(2 * (F.size(values) - 1), F.lit(1))
+    k = F.pmod(at, turn)
+    return F.get(values, F.least(k, turn - k))
 
 
 def blur(df: DataFrame, cols: list[str], sigma: float, limit: int = 1 << 20) -> DataFrame:
@@ -39,7 +62,55 @@ def blur(df: DataFrame, cols: list[str], sigma: float, limit: int = 1 << 20) ->
         return df
     kernel = taps(sigma, limit)
     f = lambda values, i: reduce(lambda a, b: a + b, [_reflected(values, i + d) * w for d, w in kernel])
-    return along(along(df, "x", cols, f), "y", cols, f)
+    return along(along(df, "x", cols, f, kernel[-1][0]), "y", cols, f, kernel[-1][0])
+
+
+# From which sigma a blur may be decimated, sigma of the small grid, longest side of a cell, sharpness of the cubic.
+EXACT_TO, SMALL_SIGMA, MAX_CELL, CUBIC = 32.0, 16.0, 64, -0.75
+
+
+def cubic_weights(k: int) -> list[list[tuple[int, float]]]:
+    """For each pixel of a cell of k: the cells (0: its own) that a cubic through their centres takes, with weights."""
+    a = CUBIC
+    near, far = (lambda t: ((a + 2) * t - (a + 3)) * t * t + 1), (lambda t: a * (((t - 5) * t + 8) * t - 4))
+    out = []
+    for j in range(k):
+        v = (j + 0.5) / k - 0.5
+        base = math.floor(v)
+        t = v - base
+        out.append([(base - 1, far(1 + t)), (base, near(t)), (base + 1, near(1 - t)), (base + 2, far(2 - t))])
+    return out
+
+
+def _enlarged(small: DataFrame, axis: str, cols: list[str], k: int) -> DataFrame:
+    """A grid k times as fine along axis, by cubic interpolation, held at the border."""
+    across = "y" if axis == "x" else "x"
+    line, n = _blocks(small, axis, ["image_id", across], cols, 2)
+    lists = line.select("image_id", across, "block", "line", *[F.col(f"line.{c}").alias(f"all_{c}") for c in cols])
+    cells = lists.select("image_id", across, "block", F.posexplode("line").alias("i", "e"), *[f"all_{c}" for c in cols]).filter(F.floor(F.col(f"e.{axis}") / n) == F.col("block"))
+    # The few cells around a pixel are looked up once; the pixels of a cell differ in their weights only.
+    held = lambda c, d: F.get(F.col(f"all_{c}"), F.least(F.greatest(F.col("i") + d, F.lit(0)), F.size(f"all_{c}") - 1))
+    around = cells.select("image_id", across, F.col(f"e.{axis}").alias("cell"), *[held(c, d).alias(f"{c}_{d + 2}") for c in cols for d in range(-2, 3)])
+    weights = F.array(*[F.array(*[F.lit(float(dict(row).get(d, 0.0))) for d in range(-2, 3)]) for row in cubic_weights(k)])
+    fine = around.withColumn("w", F.explode(F.transform(weights, lambda w, j: F.struct(j.alias("j"), w.alias("of")))))
+    value = lambda c: reduce(lambda a, b: a + b, [F.col(f"{c}_{d}") * F.get("w.of", F.lit(d)) for d in range(5)])
+    return fine.select("image_id", across, (F.col("cell") * k + F.col("w.j")).cast("int").alias(axis), *[value(c).alias(c) for c in cols])
+
+
+def decimated_blur(df: DataFrame, cols: list[str], sigma: float, limit: int = 1 << 20) -> DataFrame:
+    """blur() for large sigmas: means of cells, a blur of those, and cubic interpolation; its cost does not grow with sigma.
+
+    Cells lie on multiples of their side in absolute coordinates, so any part of a frame gets the same ones. A mean over a cell
+    is a blur too, which the small grid's sigma leaves out. At the border the mirror is the last cell's centre, not the last pixel.
+    """
+    k = int(min(MAX_CELL, sigma // SMALL_SIGMA))
+    if sigma <= EXACT_TO or k < 2:
+        return blur(df, cols, sigma, limit)
+    cell = lambda c: F.floor(F.col(c) / k).cast("int").alias(c)
+    small = df.groupBy("image_id", cell("y"), cell("x")).agg(*[F.avg(c).alias(c) for c in cols])
+    small = blur(small, cols, math.sqrt(sigma * sigma - (k * k - 1) / 12) / k, max(1, limit // k))
+    fine = _enlarged(_enlarged(small, "x", cols, k), "y", cols, k)
+    return df.drop(*cols).join(fine, ["image_id", "y", "x"]).select(df.columns)
 
 
 def with_blur(df: DataFrame, cols: list[str], sigma: float, suffix: str = "_b", limit: int = 1 << 20) -> DataFrame:
@@ -49,7 +120,7 @@ def with_blur(df: DataFrame, cols: list[str], sigma: float, suffix: str = "_b",
 
 def dilate(df: DataFrame, cols: list[str], d: int) -> DataFrame:
     f = lambda values, i: F.array_max(F.slice(values, F.greatest(F.lit(1), i + 1 - d), F.least(i, F.lit(d)) + d + 1))
-    return along(along(df, "x", cols, f), "y", cols, f)
+    return along(along(df, "x", cols, f, d), "y", cols, f, d)
 
 
 def box_pool(df: DataFrame, k: int) -> DataFrame:
@@ -60,7 +131,7 @@ def gradient(df: DataFrame, col: str) -> DataFrame:
     """df, gx, gy: central differences, held at the border."""
     f = lambda values, i: (F.get(values, F.least(i + 1, F.size(values) - 1)) - F.get(values, F.greatest(i - 1, F.lit(0)))) * 0.5
     df = df.withColumn("gx", F.col(col)).withColumn("gy", F.col(col))
-    return along(along(df, "x", ["gx"], f), "y", ["gy"], f)
+    return along(along(df, "x", ["gx"], f, 1), "y", ["gy"], f, 1)
 
 
 def unsharp(df: DataFrame, amount: float, sigma: float, limit: int = 1 << 20) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsa.functions import colour as C
-from emulsa.functions.noise import with_noise
+from emulsa.functions.noise import with_fbm, with_noise, with_scatter
 from emulsa.kernels.noise import FIELD, M1, M2, MS, MX, MY
 from emulsa.operators import marks as K
 from emulsa.operators import meter as M
@@ -35,12 +35,14 @@ def _out(source: str, columns: dict[str, str]) -> str:
 def blur(source: str, cols: list[str], sigma: float) -> str:
     """Reflected separable gaussian in SQL: a join with the kernel's taps on each axis."""
     for axis, across in (("x", "y"), ("y", "x")):
+        turn = "greatest(2 * (n.n - 1), 1)"
+        turned = f"(((p.{axis} + k.d) % {turn} + {turn}) % {turn})"
         bell = f"exp(-(d * d) / (2 * {S.n(sigma)} * {S.n(sigma)}))"
         kernel = f"select d, {bell} / sum({bell}) over () as w from (select unnest(range(-ceil(3 * {S.n(sigma)})::int, ceil(3 * {S.n(sigma)})::int + 1)) as d)"
         sums = ", ".join(f"sum(k.w * q.{c}) as {c}" for c in cols)
         source = (
             f"with p as ({source}), n as (select max({axis}) + 1 as n from p), k as ({kernel}), s as (select p.image_id, p.y, p.x, {sums} from p cross join n cross join k "
-            f"join p q on q.image_id = p.image_id and q.{across} = p.{across} and q.{axis} = n.n - 1 - abs(n.n - 1 - abs(p.{axis} + k.d)) group by 1, 2, 3) "
+            f"join p q on q.image_id = p.image_id and q.{across} = p.{across} and q.{axis} = least({turned}, {turn} - {turned}) group by 1, 2, 3) "
             f"select p.* replace ({', '.join(f's.{c} as {c}' for c in cols)}) from p join s using (image_id, y, x)"
         )
     return source
@@ -53,6 +55,13 @@ def copies(source: str, cols: dict[str, str]) -> str:
 RGB = list("rgb")
 _B = blur(copies(E, {f"{c}_b": c for c in RGB}), [f"{c}_b" for c in RGB], 1.5)
 _put("gaussian_blur", lambda d: N.blur(d, RGB, 1.5), RGB, _out(blur(E, RGB, 1.5), {c: c for c in RGB}))
+# Cells of two by two; what their means blur is taken off the sigma of the small grid.
+_SMALL = f"select image_id, (y // 2)::int as y, (x // 2)::int as x, {', '.join(f'avg({c}) as {c}' for c in RGB)} from ({E}) group by 1, 2, 3"
+_CUBIC = lambda t: f"(case when abs({t}) <= 1 then (1.25e0 * abs({t}) - 2.25e0) * {t} * {t} + 1 else -0.75e0 * (((abs({t}) - 5) * abs({t}) + 8) * abs({t}) - 4) end)"
+_put("decimated_blur", lambda d: N.decimated_blur(d, RGB, 36.0), RGB, (
+    f"with s as ({blur(_SMALL, RGB, ((36 * 36 - 3 / 12) ** 0.5) / 2)}), n as (select max(y) as h, max(x) as w from s), p as (select image_id, y, x, (y + 0.5e0) / 2 - 0.5e0 as v, (x + 0.5e0) / 2 - 0.5e0 as u from ({E})), "
+    f"d as (select unnest(range(-1, 3)) as d), t as (select p.image_id, p.y, p.x, floor(v)::int + dy.d as cy, floor(u)::int + dx.d as cx, {_CUBIC('(v - floor(v) - dy.d)')} * {_CUBIC('(u - floor(u) - dx.d)')} as w from p cross join d dy cross join d dx) "
+    f"select t.image_id, t.y, t.x, {', '.join(f'{S.q(f'sum(t.w * s.{c})')} as {c}' for c in RGB)} from t cross join n join s on s.y = greatest(0, least(cy, n.h)) and s.x = greatest(0, least(cx, n.w)) group by 1, 2, 3"))
 _put("unsharp", lambda d: N.unsharp(d, 0.8, 1.5), RGB, _out(_B, {c: f"{c} + ({c} - {c}_b) * 0.8e0" for c in RGB}))
 _L = blur(copies(E, {"l": S.luma(), "l_b": S.luma()}), ["l_b"], 2.0)
 _put("clarity", lambda d: N.clarity(d, 0.5, 2.0), RGB, _out(_L, {c: S.clamp(f"{c} + 0.8e0 * (l - l_b)") for c in RGB}))
@@ -104,9 +113,35 @@ def lattice(iy: str, ix: str, seed: int) -> str:
 
 _put("lattice_hash", lambda d: with_noise(d, "lattice", "v", 1234, field=2), ["v"], _out(E, {"v": lattice("y", "x", 1234 + 2 * FIELD)}))
 _put("cell_noise", lambda d: with_noise(d, "cell", "v", 77, 3.2), ["v"], _out(E, {"v": lattice("floor(y / 3.2e0)::bigint", "floor(x / 3.2e0)::bigint", 77)}))
-_V = copies(copies(E, {"iy": "floor(y / 3.2e0)::bigint", "ix": "floor(x / 3.2e0)::bigint"}), {"ty": "y / 3.2e0 - iy", "tx": "x / 3.2e0 - ix"})
-_V = copies(_V, {"fy": S.smoother("ty"), "fx": S.smoother("tx"), **{f"c{a}{b}": lattice(f"(iy + {a})", f"(ix + {b})", 99) for a in (0, 1) for b in (0, 1)}})
-_put("value_noise", lambda d: with_noise(d, "value", "v", 99, 3.2), ["v"], _out(_V, {"v": "(c00 * (1 - fx) + c01 * fx) * (1 - fy) + (c10 * (1 - fx) + c11 * fx) * fy"}))
+
+
+def value(source: str, cell: float, seed: int, name: str) -> str:
+    """source with a column of smooth noise."""
+    v = copies(copies(source, {"iy": f"floor(y / {S.n(cell)})::bigint", "ix": f"floor(x / {S.n(cell)})::bigint"}), {"ty": f"y / {S.n(cell)} - iy", "tx": f"x / {S.n(cell)} - ix"})
+    v = copies(v, {"fy": S.smoother("ty"), "fx": S.smoother("tx"), **{f"c{a}{b}": lattice(f"(iy + {a})", f"(ix + {b})", seed) for a in (0, 1) for b in (0, 1)}})
+    return f"select * exclude (iy, ix, ty, tx, fy, fx, c00, c01, c10, c11) from ({copies(v, {name: '(c00 * (1 - fx) + c01 * fx) * (1 - fy) + (c10 * (1 - fx) + c11 * fx) * fy'})})"
+
+
+_put("value_noise", lambda d: with_noise(d, "value", "v", 99, 3.2), ["v"], _out(value(E, 3.2, 99, "v"), {"v": "v"}))
+# Three octaves from a cell of 1.7, with weights 1, 0.6, 0.36; fixed values: their seeds are 1301 apart, fields 7919.
+_F = value(value(value(E, 1.7, 5 + 7919, "o1"), 3.4, 5 + 7919 + 1301, "o2"), 6.8, 5 + 7919 + 2602, "o3")
+_put("fbm_noise", lambda d: with_fbm(d, ["u", "v"], 5, 1.7, 3, 0.6), ["v"], _out(_F, {"v": "0.5e0 + ((o1 + 0.6e0 * o2 + 0.36e0 * o3) / 1.96e0 - 0.5e0) * (1.96e0 / sqrt(1e0 + 0.36e0 + 0.1296e0))"}))
+
+
+def scattered(pattern: int) -> str:
+    """The grid with dy and dx: eight spokes, every second one short (6), or a diamond (4); seed 9, cell 1.5, reach 6, spread 0.5, share 0.7."""
+    at = copies(E, {k: lattice("floor(y / 1.5e0)::bigint", "floor(x / 1.5e0)::bigint", 9 + 3301 + 7919 * i) for i, k in enumerate(("pick", "far", "gate"))})
+    at = copies(at, {"k": "least(floor(pick * 8), 7)"})
+    at = copies(at, {"theta": "k * (2e0 * pi() / 8)" if pattern == 6 else "pick * (2e0 * pi())"})
+    shape = "case when k % 2 = 0 then 1e0 else 0.4e0 end" if pattern == 6 else "1 / greatest(abs(cos(theta)) + abs(sin(theta)), 1e-4)"
+    at = copies(at, {"reach": f"6e0 * (1 - 0.5e0 * far) * ({shape})"})
+    return copies(at, {"dy": "case when gate < 0.7e0 then round_even(reach * sin(theta), 0) else 0 end::int", "dx": "case when gate < 0.7e0 then round_even(reach * cos(theta), 0) else 0 end::int"})
+
+
+KEPT["scatter_offsets"] = (lambda s, d: with_scatter(plates.events(s, d), 0.7, 6.0, 1.5, 9, 0.5, 4).select("image_id", "y", "x", "dy", "dx"), f"select image_id, y, x, dy, dx from ({scattered(4)})")
+_put("scatter_gather", lambda d: N.shifted(with_scatter(d, 0.7, 6.0, 1.5, 9, 0.5, 6), F.col("dy"), F.col("dx")), RGB, (
+    f"with p as ({scattered(6)}), n as (select max(y) as h, max(x) as w from p) select p.image_id, p.y, p.x, {', '.join(f'{S.q(f'q.{c}')} as {c}' for c in RGB)} from p cross join n "
+    "join p q on q.y = greatest(0, least(p.y + p.dy, n.h)) and q.x = greatest(0, least(p.x + p.dx, n.w))"))
 
 
 def _meter(spark: SparkSession, sf_dir: str) -> DataFrame:
