@@ -6,11 +6,11 @@ common prefix are neighbours, and a region of the forest is a stretch of entries
 values deep if it has at most REGION entries, else it is divided by more values, as far as it takes; where that has no end
 at DEPTH values the region is compared as it is. So depth follows density and no partner is cut off.
 
-Two rounds find what links. In the first, neighbours side by side in CHAINS of the orders are confirmed: these chains go
-through groups of copies of any size with a pair or two for each entry. In the second, regions are compared, but only across
-the components of the first, which is nothing in regions of one component. Candidates whose sizes rule a link out are dropped, and those
-of which under AGREE of a key's DEPTH values or under ALIKE of the signature's values agree (80 of 128 lie seven
-standard errors under what a link at 0.85 has in the mean).
+Three rounds find what links. In the first, neighbours side by side in CHAINS of the orders are confirmed: these chains go
+through groups of copies of any size with a pair or two for each entry. In the second, those in the other orders are, and in the
+third whole regions, but only across the components so far, which is nothing in regions of one component. Candidates are
+dropped if their sizes rule a link out, or if under AGREE of a key's DEPTH values or under ALIKE of the signature's values
+agree (80 of 128 lie seven standard errors under what a link at 0.85 has in the mean).
 
 Documents with the same set are one node; a node is 128 bits of hash of its set. Two sets that link share a region of LEAST
 values in a tree with probability 0.61 or more, so 16 trees miss them with one of under 1e-6; regions that need d values
@@ -33,8 +33,8 @@ from .components import component_ids, components
 SHINGLE, SIMILARITY = 5, 85
 TREES, OWN, DEPTH, LEAST = 16, 8, 16, 3
 #: Depths by which a region that is too large is divided, and the most entries of one that is not.
-DEPTHS, REGION = (LEAST, 4, 6, 8, 12, DEPTH), 48
-#: Orders whose chains are confirmed first; values of a key, and of a signature, that must agree in a pair.
+DEPTHS, REGION = (LEAST, 4, 6, 8, 12, DEPTH), 32
+#: Orders whose chains are confirmed first, across no components yet; values of a key, and of a signature, that must agree in a pair.
 CHAINS, AGREE, ALIKE = 3, 6, 80
 #: Entries from which regions with many of them are looked for; texts of which the keys are broadcast.
 MANY, MAX_BROADCAST = 1_000_000, 1_000_000
@@ -115,7 +115,7 @@ def neighbours(classes: DataFrame, similarity: int) -> DataFrame:
             same = keys[1:] == keys[:-1]
             near = (tree[1:] == tree[:-1]) & same[:, :LEAST].all(axis=1)
             live = np.append(shares, near) | np.append(near, last)
-            link = near & (tree[1:] < CHAINS) & (same.sum(axis=1) >= AGREE) & (100 * np.minimum(size[1:], size[:-1]) >= similarity * np.maximum(size[1:], size[:-1]))
+            link = near & (same.sum(axis=1) >= AGREE) & (100 * np.minimum(size[1:], size[:-1]) >= similarity * np.maximum(size[1:], size[:-1]))
             follows = pa.array(batch.column(2).to_pylist()[1:], pa.binary(), mask=~link) if n > 1 else pa.array([], pa.binary())
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays([follows, pa.array([None], pa.binary())])], [*batch.schema.names, "next"])
             end = n if last else n - 1  # the last entry waits
@@ -197,12 +197,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.struct("doc_id", "text_key").eqNullSafe(F.col("one")), "left_semi").select("text")
     sets = written(shingle_sets(texts, shingle, whole=True).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
-    chains = written(live.filter(F.col("next").isNotNull()).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
-    first = written(confirmed(chains, sets, similarity), "chain-links")
-    roots = components(first).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    nexts = live.filter(F.col("next").isNotNull()).select("tree", "node", "next")
+    chains = written(nexts.filter(F.col("tree") < CHAINS).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
+    links = written(confirmed(chains, sets, similarity), "chain-links")
+    others = written(nexts.filter(F.col("tree") >= CHAINS).select(*_pair(F.col("node"), F.col("next"))).distinct().join(chains, ["a", "b"], "left_anti"), "other-chains")
+    roots = written(components(links), "chain-roots")
+    of = lambda name: roots.select(F.col("a").alias(name), F.col("b").alias(f"root_{name}"))
+    apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = written(links.union(confirmed(written(alike(apart, classes), "other-chain-pairs"), sets, similarity)), "chain-links")
+
+    roots = components(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
     entries = written(live.join(roots, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component")), "forest-entries")
     pairs = written(alike(region_pairs(entries, similarity, region), classes), "region-pairs")
-    links = written(first.union(confirmed(pairs, sets, similarity)), "near-links")
+    links = written(links.union(confirmed(pairs, sets, similarity)), "near-links")
 
     named = component_ids(signed.select("doc_id", "n", "node"), classes.select("node", "doc_id"), links, "node")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
