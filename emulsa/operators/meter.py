@@ -13,26 +13,36 @@ from emulsa.functions import colour as C
 
 SAMPLES, LEAST, DARK, CLIPPED, NORM, KEY, MAX_EV, MAX_GAIN = 2_000_000, 256, 0.02, 0.92, 6, 0.179, 2.0, 1.6
 DIVERSITY = (0.010, 0.045)
+#: Images whose rows of measures are broadcast to the pixels; for more, pixels and measures are dealt by image.
+MAX_BROADCAST = 100_000
 
 
-def meter(df: DataFrame) -> DataFrame:
+def _meeting(df: DataFrame):
+    """How pixels are joined with a row for each of their images: a count of the images decides."""
+    few = df.select("image_id").distinct().limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return lambda pixels, measures: pixels.join(F.broadcast(measures) if few else measures, "image_id")
+
+
+def meter(df: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """image_id, norm_ev, norm_gain_r, norm_gain_g, norm_gain_b, norm_toe, norm_white of pixels(image_id, y, x, r, g, b) (y and x may be missing).
 
-    Frames of more than twice SAMPLES pixels are read at every so many-th pixel in raster order, if y and x are there.
+    Frames of at least twice so many samples are read at every so many-th pixel in raster order, if y and x are there. Pixels
+    are read, summed where they are, and never dealt (see MAX_BROADCAST).
     """
+    meet = _meeting(df)
     lin = [C.linear(F.col(c)) for c in "rgb"]
     top, low = F.greatest(*map(F.col, "rgb")), F.least(*map(F.col, "rgb"))
     df = df.withColumns({"lr": lin[0], "lg": lin[1], "lb": lin[2], "top": top, "seen": low >= DARK, "ok": (low >= DARK) & (top <= CLIPPED)})
     # The peak is that of all pixels; everything else is measured on the sampled ones.
-    peak = df.groupBy("image_id").agg(F.max("top").alias("peak"), *([(F.max("x") + 1).alias("w"), F.greatest(F.lit(1), F.floor(F.count("*") / SAMPLES)).alias("stride")] if {"y", "x"} <= set(df.columns) else []))
+    peak = df.groupBy("image_id").agg(F.max("top").alias("peak"), *([(F.max("x") + 1).alias("w"), F.greatest(F.lit(1), F.floor(F.count("*") / samples)).alias("stride")] if {"y", "x"} <= set(df.columns) else []))
     if "stride" in peak.columns:
-        df = df.join(peak.drop("peak"), "image_id").filter((F.col("y").cast("bigint") * F.col("w") + F.col("x")) % F.col("stride") == 0)
+        df = meet(df, peak.drop("peak")).filter((F.col("y").cast("bigint") * F.col("w") + F.col("x")) % F.col("stride") == 0)
     total = F.greatest(F.col("lr") + F.col("lg") + F.col("lb"), F.lit(1e-6))
     first = df.groupBy("image_id").agg(
         F.count_if("seen").alias("n_seen"), F.count_if("ok").alias("n_ok"),
         *[F.avg(F.when(F.col("ok"), F.pow(f"l{c}", F.lit(float(NORM))))).alias(f"p{c}") for c in "rgb"], *[F.avg(F.when(F.col("ok"), F.col(f"l{c}") / total)).alias(f"c{c}") for c in "rgb"],
     )
-    both = df.join(first, "image_id")
+    both = meet(df, first)
     spread = sum((F.abs(F.col(f"l{c}") / total - F.col(f"c{c}")) for c in "rgb"), F.lit(0.0)) / 3
     first = first.join(both.groupBy("image_id").agg(F.avg(F.when(F.col("ok"), spread)).alias("diversity")), "image_id")
     means = [F.greatest(F.pow(F.col(f"p{c}"), F.lit(1 / NORM)), F.lit(1e-6)) for c in "rgb"]
@@ -41,7 +51,7 @@ def meter(df: DataFrame) -> DataFrame:
     first = first.withColumns({f"g{c}": F.when(F.col("n_ok") >= LEAST, F.greatest(F.lit(1 / MAX_GAIN), F.least(F.lit(MAX_GAIN), 1 + ((F.col("mr") + F.col("mg") + F.col("mb")) / 3 / F.col(f"m{c}") - 1) * damp))).otherwise(1.0) for c in "rgb"})
     first = first.withColumn("gy", C.luma(*[F.col(f"g{c}") for c in "rgb"])).withColumns({f"g{c}": F.col(f"g{c}") / F.col("gy") for c in "rgb"})
     shown = F.greatest(C.luma(*[F.col(f"l{c}") * F.col(f"g{c}") for c in "rgb"]), F.lit(1e-6))
-    key = df.join(first.select("image_id", "gr", "gg", "gb"), "image_id").groupBy("image_id").agg(F.exp(F.avg(F.when(F.col("seen"), F.ln(shown)))).alias("key"))
+    key = meet(df, first.select("image_id", "gr", "gg", "gb")).groupBy("image_id").agg(F.exp(F.avg(F.when(F.col("seen"), F.ln(shown)))).alias("key"))
     out = first.join(key, "image_id").join(peak.select("image_id", "peak"), "image_id")
     limit = lambda x: F.greatest(F.lit(-MAX_EV), F.least(F.lit(MAX_EV), x))
     white = lambda ev: F.greatest(F.lit(1.0), C.linear(F.col("peak")) * F.greatest("gr", "gg", "gb") * F.pow(F.lit(2.0), F.col(ev)))
@@ -78,7 +88,7 @@ def pixels_of(frames: DataFrame) -> DataFrame:
 
 def normalize(df: DataFrame, metered: DataFrame, highlight_priority: float = 0.0) -> DataFrame:
     """Exposure, balance and white point as metered; metered has a row for each image, which is small beside the frames."""
-    d = df.withColumns({f"s{c}": F.col(c) for c in "rgb"}).join(metered, "image_id")
+    d = _meeting(metered)(df.withColumns({f"s{c}": F.col(c) for c in "rgb"}), metered)
     d = d.withColumns({c: C.linear(F.col(c)) * F.col(f"norm_gain_{c}") * F.pow(F.lit(2.0), F.col("norm_ev")) for c in "rgb"})
     v = F.greatest(*map(F.col, "rgb"))
     d = d.withColumn("v", v).withColumn("k", F.when(F.col("norm_white") > 1, F.col("v") * (1 + F.col("v") / (F.col("norm_white") * F.col("norm_white"))) / (1 + F.col("v")) / F.greatest(F.col("v"), F.lit(1e-6))).otherwise(1.0))

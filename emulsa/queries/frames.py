@@ -149,13 +149,14 @@ def _meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("image_id", *[F.floor(F.col(c) * 1e5 + 0.5).cast("bigint").alias(c) for c in m.columns if c != "image_id"])
 
 
-def _meter_sql(source: str) -> str:
+def _meter_sql(source: str, whole: str | None = None) -> str:
+    """whole: the pixels that the peak is taken of, if source has some of them only (one image)."""
     lin = f"select *, {', '.join(f'{S.linear(c)} as l{c}' for c in RGB)}, greatest(r, g, b) as top, least(r, g, b) >= 0.02e0 as seen, least(r, g, b) >= 0.02e0 and greatest(r, g, b) <= 0.92e0 as ok from ({source})"
     gain = lambda c: f"greatest({S.n(1 / 1.6)}, least(1.6e0, 1 + ((mr + mg + mb) / 3 / m{c} - 1) * damp))"
     white = lambda ev: f"greatest(1e0, {S.linear('peak')} * greatest(gr, gg, gb) * pow(2e0, {ev}))"
     return f"""
 with lin as ({lin}),
-a as (select image_id, count(*) filter (where seen) as n_seen, count(*) filter (where ok) as n_ok, max(top) as peak,
+a as (select image_id, count(*) filter (where seen) as n_seen, count(*) filter (where ok) as n_ok, {f'(select max(greatest(r, g, b)) from ({whole}))' if whole else 'max(top)'} as peak,
       {', '.join(f'greatest(pow(avg(pow(l{c}, 6e0)) filter (where ok), {S.n(1 / 6)}), 1e-6) as m{c}, avg(l{c} / greatest(lr + lg + lb, 1e-6)) filter (where ok) as c{c}' for c in RGB)} from lin group by 1),
 d as (select image_id, avg(({' + '.join(f'abs(l{c} / greatest(lr + lg + lb, 1e-6) - c{c})' for c in RGB)}) / 3) filter (where ok) as diversity from lin join a using (image_id) group by 1),
 e as (select *, {S.clamp('(diversity - 0.010e0) / 0.035e0')} as damp from a join d using (image_id)),
@@ -175,6 +176,23 @@ _NAMES = ("norm_ev", "norm_gain_r", "norm_gain_g", "norm_gain_b", "norm_toe", "n
 KEPT["meter"] = (_meter, f"select image_id, {', '.join(f'cast(floor({c} * 1e5 + 0.5e0) as bigint) as {c}' for c in _NAMES)} from ({_METER})")
 
 
+# Groups of which some have fewer than 256 pixels that are measured, so nothing is applied to them.
+_GROUPS = "select l_returnflag || '-' || (l_orderkey % 80) as image_id, l_quantity / 50e0 as r, l_discount * 10e0 as g, l_tax / 0.08e0 as b from lineitem"
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return d.select(F.concat_ws("-", "l_returnflag", (F.col("l_orderkey") % 80).cast("string")).alias("image_id"), (F.col("l_quantity") / 50.0).alias("r"), (F.col("l_discount") * 10.0).alias("g"), (F.col("l_tax") / 0.08).alias("b"))
+
+
+_told = lambda m: m.select("image_id", *[F.floor(F.col(c) * 1e5 + 0.5).cast("bigint").alias(c) for c in _NAMES])
+_asked = lambda sql: f"select image_id, {', '.join(f'cast(floor({c} * 1e5 + 0.5e0) as bigint) as {c}' for c in _NAMES)} from ({sql})"
+KEPT["meter_small_images"] = (lambda s, d: _told(M.meter(_groups(s, d))), _asked(_meter_sql(_GROUPS)))
+# Every third pixel in raster order, if there are three times 3,000 of them; the peak is that of all.
+_EVERY = f"with p as ({E}), n as (select max(x) + 1 as w, greatest(1, count(*) // 3000) as stride from p) select p.* from p cross join n where (y::bigint * w + x) % stride = 0"
+KEPT["meter_stride"] = (lambda s, d: _told(M.meter(plates.events(s, d), 3_000)), _asked(_meter_sql(_EVERY, E)))
+
+
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = plates.line(spark, sf_dir)
     return M.normalize(d, M.meter(d), 0.3).select("image_id", *[F.floor(F.col(c) * 1e4 + 0.5).cast("bigint").alias(c) for c in RGB])
