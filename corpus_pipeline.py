@@ -5,8 +5,9 @@ docs. All but the last return the columns that they were given, values untouched
 doc_id and 128 bits of hash of its doc_id, text, lang and source, so rows without doc_id, or with one that others have too,
 are decided each by themselves. The key's column gets a name that docs does not have.
 
-Of all stages: docs may lack any column (it counts as null) and have others, whatever their names. An empty table gives an
-empty result. Repeated rows are decided alike.
+Of all stages: docs may lack any column (it counts as null) and have others, whatever their names and types. A doc_id that is
+no whole number counts as null where numbers are asked for, and as itself in the key. Texts may be of any length. An empty
+table gives an empty result. Repeated rows are decided alike.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulsa.llm.common import fresh_dir, row_key, table, written
+from emulsa.llm.common import fresh_dir, hashable, row_key, table, written
 from emulsa.llm.decontaminate import contaminated
 from emulsa.llm.mixing import mix_sources
 from emulsa.llm.quality import quality_rules
@@ -27,7 +28,9 @@ KEY = "struct<id:bigint,a:bigint,b:bigint>"
 
 
 def _typed(docs: DataFrame, name: str) -> Column:
-    return (F.col(f"`{name}`") if name in {c.lower() for c in docs.columns} else F.lit(None)).cast(COLUMNS[name]).alias(name)
+    given = {c.lower(): t for c, t in docs.dtypes}
+    value = F.col(f"`{name}`") if name in given else F.lit(None)
+    return (value.try_cast(COLUMNS[name]) if given.get(name) == "string" else value.cast(COLUMNS[name])).alias(name)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -35,8 +38,10 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     key, taken = "_key", {c.lower() for c in docs.columns}
     while key in taken:
         key += "_"
-    keyed = docs.withColumn(key, F.struct(*[_typed(docs, c) for c in COLUMNS]))
-    of = row_key(*[f"{key}.{c}" for c in COLUMNS])
+    # A doc_id that is text is in the hash as it is.
+    said = F.col("`doc_id`").cast("string") if "doc_id" in taken else F.lit(None).cast("string")
+    keyed = docs.withColumn(key, F.struct(*[_typed(docs, c) for c in COLUMNS], said.alias("said")))
+    of = row_key(f"{key}.said", *[f"{key}.{c}" for c in COLUMNS if c != "doc_id"])
     told = keyed.select(F.struct(F.col(f"{key}.doc_id").alias("id"), of["a"].alias("a"), of["b"].alias("b")).alias("doc_id"), *[f"{key}.{c}" for c in COLUMNS if c != "doc_id"])
     return keyed.withColumn(key, F.struct(F.col(f"{key}.doc_id").alias("id"), of["a"].alias("a"), of["b"].alias("b"))), told, key
 
@@ -60,12 +65,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id (null before all), among equal ones the smallest hash.
 
-    Of rows alike in doc_id, text, lang and source one stays. Texts without words are copies of one another.
+    Of rows alike in doc_id, text, lang and source one stays: that whose other columns have the smallest hash. Texts without
+    words are copies of one another.
     """
     keyed, told, key = _keyed(docs)
     groups = simhash_components(told, id_type=KEY)
     first = groups.filter("doc_id = component_id").select("doc_id")
-    return _only(keyed, key, written(first, "first-of-groups"), "left_semi", keyed.columns).dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
+    kept = _only(keyed, key, written(first, "first-of-groups"), "left_semi", keyed.columns)
+    more = [c for c in docs.columns if c.lower() not in COLUMNS]
+    order = F.xxhash64(*hashable(docs, more)) if more else F.lit(0)
+    one = kept.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("one"))
+    return one.select(*[F.col("one")[c].alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,7 +95,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mixture; for each document where its ids are. Null texts are empty: an end id alone."""
-    return token_output(docs, default_tokenizer(), in_file_order=True)
+    return token_output(docs.withColumn("doc_id", _typed(docs, "doc_id")) if dict(docs.dtypes).get("doc_id") == "string" else docs, default_tokenizer(), in_file_order=True)
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("token output", tokens)]

@@ -65,6 +65,12 @@ def row_key(*columns: str) -> Column:
     return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit(1), *told, *[F.length(x) for x in told]).alias("b"))
 
 
+def hashable(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as xxhash64 takes them: those with a map or variant in them as JSON."""
+    kinds = dict(df.dtypes)
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if re.search(r"\bmap<|\bvariant\b", kinds[c]) else F.col(f"`{c}`") for c in columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

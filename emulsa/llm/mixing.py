@@ -29,7 +29,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, pinned, table
+from .common import fresh_dir, hashable, pinned, table
 
 #: Documents in a block; rows of the period up to which it is broadcast.
 BLOCK, MAX_BROADCAST = 16, 1_000_000
@@ -122,7 +122,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     known, n_known = _stored(spark, iter(sorted(shares.items())), "line:string,share:bigint", "mix-shares")
     bound = lambda df, n: F.broadcast(df) if n <= MAX_BROADCAST else df
     extra = [c for c in kinds if c not in ("doc_id", "source")]
-    rest = F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in extra])) if extra else F.lit("")
+    rest = F.hex(F.xxhash64(*hashable(docs, extra))) if extra else F.lit("")
     draw = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), rest)), rest)
     packed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in extra]).alias("carried") if extra else F.lit(None).alias("carried"), _key(F.col("source")).alias("line"), draw.alias("draw"))
     packed = packed.join(bound(known, n_known), "line", "left")

@@ -839,6 +839,28 @@ def test_stages_on_odd_rows(spark, none):
     assert P.tokens(spark, spark.read.parquet(place + "-none"), SF).collect() == []
 
 
+def test_stages_on_any_types(spark):
+    """Maps beside, doc_ids that are text, rows that differ in other columns only."""
+    import corpus_pipeline as P
+
+    text = lambda k: " ".join(f"the w{k * 50 + i} of and x{k}y{i}" for i in range(12))
+    rows_ = [(f"id-{k}", text(k), "en", f"s{k % 2}", {"k": k}, k) for k in range(6)] + [("id-0", text(0), "en", "s0", {"k": 7}, 7), ("id-0", text(0), "en", "s0", {"k": 8}, 8), ("17", text(17), "en", "s0", None, 9)]
+    schema = "doc_id string, text string, lang string, source string, more map<string,int>, at int"
+    kept = set()
+    for order in (rows_, rows_[::-1]):
+        d = spark.createDataFrame(order, schema).repartition(3)
+        for name, stage in P.STAGES:
+            place = common.fresh_dir(spark, "test")
+            stage(spark, d, SF).write.parquet(place)
+            was, d = d, spark.read.parquet(place)
+            assert name == "token output" or d.schema == was.schema
+            if name == "near-dedup":
+                kept.add(tuple(sorted(r["at"] for r in d.collect())))
+                assert sorted(r.doc_id for r in d.collect()) == ["17", *[f"id-{k}" for k in range(6)]]
+        assert d.count() == 7 and {r.doc_id for r in d.collect()} == {17, None}
+    assert len(kept) == 1
+
+
 def test_part_files_beyond_five_digits_keep_their_order(spark, tmp_path):
     import pyarrow as pa
     import pyarrow.parquet as pq
