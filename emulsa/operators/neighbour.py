@@ -187,6 +187,45 @@ def halation(df: DataFrame, amount: float, radius: float, threshold: float, colo
     return b.withColumns({c: C.display(F.col(c) + F.col("glow") * (k * 0.9 * amount)) for c, k in zip("rgb", colour, strict=True)}).select(df.columns)
 
 
+def isophote(df: DataFrame, col: str, sigma: float, limit: int = 1 << 20) -> DataFrame:
+    """df, ty, tx, size: the tangent of lines of equal values of col, blurred, and the gradient's size, 1e-6 at least."""
+    g = gradient(blur(df.withColumn("_v", F.col(col)), ["_v"], sigma, limit), "_v")
+    g = g.withColumn("size", F.greatest(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), F.lit(1e-6)))
+    return g.select(*df.columns, (F.col("gx") / F.col("size")).alias("ty"), (-F.col("gy") / F.col("size")).alias("tx"), "size")
+
+
+def blue_guard(df: DataFrame, amount: float, shift: float, level: float, falloff: float) -> DataFrame:
+    """Linear colours with bright blues turned by shift degrees and made stronger, so that halation leaves skies alone."""
+    if amount <= 0.001 and abs(shift) <= 0.5:
+        return df
+    shown = df.withColumns({f"_{c}": C.display(F.col(c)) for c in "rgb"})
+    own = [F.col(f"_{c}") for c in "rgb"]
+    d = shown.withColumns({"_hue": C.hue(*own), "_sat": C.saturation(*own), "_y": C.luma(*own)})
+    away = F.abs(F.pmod(F.col("_hue") - 230 + 180, F.lit(360.0)) - 180)
+    d = d.withColumn("_m", (1 - C.smoothstep(0.0, 70.0, away)) * C.smoothstep(0.0, 0.12, F.col("_sat")) * C.smootherstep(max(0.0, level - falloff), level, F.col("_y")))
+    if abs(shift) > 0.5:
+        d = d.withColumns(dict(zip("rgb", C.rotate_hue(tuple(map(F.col, "rgb")), F.col("_m") * shift), strict=True)))
+    if amount > 0.001:
+        d = d.withColumn("_y", C.luma(*map(F.col, "rgb"))).withColumns({c: F.col("_y") + (F.col(c) - F.col("_y")) * (1 + amount * F.col("_m")) for c in "rgb"})
+    return d.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in "rgb"}).select(df.columns)
+
+
+def halation_stage(df: DataFrame, p: dict[str, float], colour: tuple[float, float, float], scale: float = 1.0, limit: int = 1 << 20) -> DataFrame:
+    """halation() with the guard of blues and the recovery of highlights."""
+    if p["halation"] <= 0.01:
+        return df
+    lin = df.withColumns({c: C.linear(F.col(c)) for c in "rgb"})
+    t = min(p["halation_threshold"], 0.98)
+    t = t / 12.92 if t <= 0.04045 else ((t + 0.055) / 1.055) ** 2.4
+    b = blur(lin.withColumn("glow", C.clamp((C.luma(*map(F.col, "rgb")) - t) / max(1 - t, 0.02))), ["glow"], max(1.0, p["halation_radius"] * scale), limit)
+    b = blue_guard(b, p["halation_blue"], p["halation_blue_shift"], p["halation_blue_level"], p["halation_blue_falloff"])
+    b = b.withColumns({f"add_{c}": F.col("glow") * (k * 0.9 * p["halation"]) for c, k in zip("rgb", colour, strict=True)})
+    if p["halation_recovery"] > 0:
+        b = b.withColumns({f"head_{c}": F.greatest(1 - F.col(c), F.lit(1e-4)) for c in "rgb"})
+        b = b.withColumns({f"add_{c}": F.col(f"add_{c}") * (F.col(f"head_{c}") + F.col(f"add_{c}") * (1 - p["halation_recovery"])) / (F.col(f"head_{c}") + F.col(f"add_{c}")) for c in "rgb"})
+    return b.withColumns({c: C.display(F.col(c) + F.col(f"add_{c}")) for c in "rgb"}).select(df.columns)
+
+
 def shifted(df: DataFrame, dy: Column, dx: Column) -> DataFrame:
     """Each pixel's colours copied from (y + dy, x + dx), held at the frame's border: an equi-join on coordinates."""
     size = df.groupBy("image_id").agg(F.max("y").alias("my"), F.max("x").alias("mx"))

@@ -95,6 +95,25 @@ _THR = ((0.5 + 0.055) / 1.055) ** 2.4
 _LIN = f"select * replace ({', '.join(f'{S.linear(c)} as {c}' for c in RGB)}) from ({E})"
 _GLOW = blur(copies(_LIN, {"glow": S.clamp(f"({S.luma()} - {S.n(_THR)}) / {S.n(1 - _THR)}")}), ["glow"], 2.0)
 _put("halation", lambda d: N.halation(d, 0.35, 2.0, 0.5, _COLOUR), RGB, _out(f"select * replace ({', '.join(f'{c} + glow * {S.n(k * 0.9 * 0.35)} as {c}' for c, k in zip(RGB, _COLOUR, strict=True))}) from ({_GLOW})", {c: S.display(c) for c in RGB}))
+# The whole stage: highlights spread, bright blues (hue 230, by the displayed colours) turned by 20 degrees and strengthened by half, highlights recovered by 0.4.
+_WHOLE = {"halation": 0.5, "halation_radius": 2.0, "halation_threshold": 0.5, "halation_recovery": 0.4, "halation_blue": 0.5, "halation_blue_shift": 20.0, "halation_blue_level": 0.4, "halation_blue_falloff": 0.3}
+_H = copies(_GLOW, {f"s_{c}": S.display(c) for c in RGB})
+_H = copies(_H, {"hi": "greatest(s_r, s_g, s_b)", "lo": "least(s_r, s_g, s_b)", "sy": S.luma("s_r", "s_g", "s_b")})
+_H = copies(_H, {"hue": "case when hi - lo < 1e-6 then 0e0 when hi = s_r then 60 * (((s_g - s_b) / (hi - lo) + 6) % 6) when hi = s_g then 60 * ((s_b - s_r) / (hi - lo) + 2) else 60 * ((s_r - s_g) / (hi - lo) + 4) end", "sat": "(hi - lo) / greatest(hi, 1e-6)"})
+_H = copies(_H, {"away": "abs((hue - 50 + 360) % 360 - 180)"})
+_H = copies(_H, {"m": f"(1 - {S.smooth(S.ramp(0.0, 70.0, 'away'))}) * {S.smooth(S.ramp(0.0, 0.12, 'sat'))} * {S.smoother(S.ramp(0.4 - 0.3, 0.4, 'sy'))}"})
+_H = copies(_H, {"co": "cos(radians(m * 20e0))", "si": "sin(radians(m * 20e0))", "mean": "(r + g + b) / 3"})
+_H = copies(_H, {f"t_{c}": f"{c} * co + ({x} - {y}) * si / sqrt(3e0) + mean * (1 - co)" for c, x, y in (("r", "b", "g"), ("g", "r", "b"), ("b", "g", "r"))})
+_H = copies(_H, {"ty": S.luma("t_r", "t_g", "t_b")})
+_H = copies(_H, {**{f"u_{c}": f"greatest(0e0, ty + (t_{c} - ty) * (1 + 0.5e0 * m))" for c in RGB}, **{f"a_{c}": f"glow * {S.n(k * 0.9 * 0.5)}" for c, k in zip(RGB, _COLOUR, strict=True)}})
+_H = copies(_H, {f"e_{c}": f"greatest(1 - u_{c}, 1e-4)" for c in RGB})
+_H = copies(_H, {f"z_{c}": f"u_{c} + a_{c} * (e_{c} + a_{c} * 0.6e0) / (e_{c} + a_{c})" for c in RGB})
+_put("halation_whole", lambda d: N.halation_stage(d, _WHOLE, _COLOUR), RGB, _out(_H, {c: S.display(f"z_{c}") for c in RGB}))
+_T = (
+    f"with p as ({_ISO}), n as (select max(y) as h, max(x) as w from p) select p.image_id, p.y, p.x, (e.v - w_.v) * 0.5e0 as gx, (s.v - t.v) * 0.5e0 as gy from p cross join n "
+    "join p e on e.y = p.y and e.x = least(p.x + 1, n.w) join p w_ on w_.y = p.y and w_.x = greatest(p.x - 1, 0) join p s on s.x = p.x and s.y = least(p.y + 1, n.h) join p t on t.x = p.x and t.y = greatest(p.y - 1, 0)")
+_T = copies(_T, {"size": "greatest(sqrt(gx * gx + gy * gy), 1e-6)"})
+_put("isophote_tangent", lambda d: N.isophote(d.withColumn("v", C.luma(*map(F.col, RGB))), "v", 1.0), ["ty", "tx", "size"], _out(_T, {"ty": "gx / size", "tx": "-gy / size", "size": "size"}))
 _MOVE = ("(x * 7 + y * 3) % 5 - 2", "(x * 5 + y * 11) % 5 - 2")
 _put("scatter_nearest", lambda d: N.shifted(d, F.expr(_MOVE[0]), F.expr(_MOVE[1])), RGB, (
     f"with p as ({E}), n as (select max(y) as h, max(x) as w from p) select p.image_id, p.y, p.x, {', '.join(f'{S.q(f'q.{c}')} as {c}' for c in RGB)} from p cross join n join p q on q.y = greatest(0, least(p.y + ({_MOVE[0].replace('x', 'p.x').replace('y', 'p.y')}), n.h)) "
