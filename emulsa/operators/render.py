@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ def cut(frames: DataFrame, plan: Plan) -> DataFrame:
     return frames.select("image_id", "h", "w", "planes").mapInArrow(run, TILE)
 
 
-def render_tiles(tiles: DataFrame, plan: Plan, meter: DataFrame | None = None, first: int = 0, last: int = len(PARTS)) -> DataFrame:
-    """Tiles with their padded planes, to tiles with the rendered core. meter: a row of METER for each image.
+def render_tiles(tiles: DataFrame, plan: Plan, meter: DataFrame | None = None, first: int = 0, last: int = len(PARTS), done: Accumulator | None = None) -> DataFrame:
+    """Tiles with their padded planes, to tiles with the rendered core. meter: a row of METER for each image; done counts tiles.
 
     first and last choose parts of the stages: from a part on, tiles have their padded working picture in the column fine;
     up to a part that is not the last one, they get it there.
@@ -73,6 +74,8 @@ def render_tiles(tiles: DataFrame, plan: Plan, meter: DataFrame | None = None, f
                     yield _batch([tuple(r[n] for n in [*NAMES, "fine"])], [*types, pa.binary()], [*NAMES, "fine"])
                     continue
                 y = reduced(y, x, plan.params, plan.supersample)
+                if done is not None:
+                    done.add(1)
                 core = y[:, r["y_a"] - r["py_a"] : r["y_b"] - r["py_a"], r["x_a"] - r["px_a"] : r["x_b"] - r["px_a"]]
                 r["planes"] = np.ascontiguousarray(core, dtype="<f4").tobytes()
                 yield _batch([tuple(r[n] for n in NAMES)], types, NAMES)
@@ -93,14 +96,14 @@ def stitch(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("image_id").applyInArrow(join, FRAME)
 
 
-def render(frames: DataFrame, plan: Plan, meter: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """Frames put through the plan; a neutral plan gives the frames back."""
+def render(frames: DataFrame, plan: Plan, meter: DataFrame | None = None, partitions: int | None = None, done: Accumulator | None = None) -> DataFrame:
+    """Frames put through the plan; a neutral plan gives the frames back. done: counts the tiles that tasks have finished."""
     if plan.neutral:
         return frames.select("image_id", "h", "w", "planes")
     tiles = cut(frames, plan)
     keys = ["image_id", "ty", "tx"]
     n = partitions or frames.sparkSession.sparkContext.defaultParallelism * 4
-    return stitch(render_tiles(tiles.repartition(n, *keys), plan, meter))
+    return stitch(render_tiles(tiles.repartition(n, *keys), plan, meter, done=done))
 
 
 def view(frames: DataFrame, plan: Plan, box: tuple[int, int, int, int], meter: DataFrame | None = None) -> DataFrame:

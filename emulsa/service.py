@@ -8,13 +8,14 @@ import uuid
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
-from pyspark import InheritableThread
+from pyspark import Accumulator, InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from emulsa.operators.meter import meter, pixels_of
 from emulsa.operators.render import FRAME, render
+from emulsa.operators.sections import Sections
 from emulsa.params.ops import clamp_supersample, schema
-from emulsa.plans.planner import Plan, plan
+from emulsa.plans.planner import Plan, plan, tile_grid
 from emulsa.sources import cube
 from emulsa.sources.images import encoded, export_name, proxies
 
@@ -29,6 +30,8 @@ class Upload:
     proxy: DataFrame
     megapixels: float
     metered: DataFrame | None = None
+    #: Ids of the preview's source among the kept pictures, without and with metered values.
+    sources: dict[bool, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -38,12 +41,16 @@ class Job:
     status: str = "running"
     error: str = ""
     data: bytes = b""
+    tiles: int = 0
+    done: Accumulator | None = None
+    told: float = 0.0
     created: float = field(default_factory=time.time)
 
 
 class Service:
-    def __init__(self, spark: SparkSession):
-        self.spark, self.uploads, self.jobs = spark, OrderedDict(), OrderedDict()
+    def __init__(self, spark: SparkSession, kept: Sections | None = None):
+        """kept: where previews find and leave pictures at the boundaries of sections; without it each is rendered whole."""
+        self.spark, self.kept, self.uploads, self.jobs = spark, kept, OrderedDict(), OrderedDict()
         self._ticket, self._lock = 0, threading.Lock()
 
     def health(self) -> dict:
@@ -81,12 +88,25 @@ class Service:
         """The frame itself, as a JPEG file."""
         return bytes(encoded(self.get(key).proxy, "jpeg").first()["bytes"])
 
-    def rendered(self, key: str, values: dict, supersample=2.0, full: bool = False, reference_mp: float | None = None, lut: dict | None = None) -> DataFrame:
+    def _planned(self, key: str, values: dict, supersample, full: bool, reference_mp: float | None, lut: dict | None) -> tuple[Upload, DataFrame, Plan]:
         up = self.get(key)
         source = up.frames if full else up.proxy
         scale = 1.0 if full else source.select("scale").first()[0]
-        p = plan(values, clamp_supersample(supersample), up.megapixels, reference_mp, lut, scale)
-        return render(source, p, self._metered(up, p))
+        return up, source, plan(values, clamp_supersample(supersample), up.megapixels, reference_mp, lut, scale)
+
+    def rendered(self, key: str, values: dict, supersample=2.0, full: bool = False, reference_mp: float | None = None, lut: dict | None = None, job: Job | None = None) -> DataFrame:
+        """The rendered frame; job gets the number of its tiles, and a count of those that are done."""
+        up, source, p = self._planned(key, values, supersample, full, reference_mp, lut)
+        metered = self._metered(up, p)
+        if self.kept and not full and job is None:
+            normal = metered is not None
+            if normal not in up.sources:
+                up.sources[normal] = self.kept.open(source, metered)
+            return self.kept.render(up.sources[normal], p)
+        if job is not None:
+            h, w = source.select("h", "w").first()
+            job.tiles, job.done = 0 if p.neutral else len(tile_grid(h, w, p.tile, p.halo)), self.spark.sparkContext.accumulator(0)
+        return render(source, p, metered, done=job and job.done)
 
     def preview(self, key: str, values: dict, **more) -> bytes | None:
         """The rendered frame as a JPEG file; None if a newer preview was asked for meanwhile."""
@@ -115,7 +135,7 @@ class Service:
         def run() -> None:
             try:
                 self.spark.addTag(f"export-{job.id}")  # of this thread's jobs
-                data = bytes(encoded(self.rendered(key, values, supersample, full, **more), fmt, quality).first()["bytes"])
+                data = bytes(encoded(self.rendered(key, values, supersample, full, job=job, **more), fmt, quality).first()["bytes"])
                 if job.status == "running":
                     job.data, job.status = data, "done"
             except Exception as e:  # the job's status tells
@@ -130,14 +150,13 @@ class Service:
         return [{"id": j.id, "filename": j.filename, "status": j.status, "error": j.error, "created": j.created} for j in reversed(self.jobs.values())]
 
     def progress(self, job_id: str) -> float:
-        """The share of an export's tasks that are done, of the stages that Spark has planned so far; 1 when it is done."""
-        job, told = self.jobs[job_id], self.spark.sparkContext.statusTracker()
+        """The share of an export's tiles that are done; it never goes back, and is 1 when the export is done."""
+        job = self.jobs[job_id]
         if job.status == "done":
             return 1.0
-        jobs = self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(f"export-{job_id}")
-        stages = [told.getStageInfo(k) for i in jobs for k in (told.getJobInfo(i).stageIds if told.getJobInfo(i) else [])]
-        total = sum(x.numTasks for x in stages if x)
-        return sum(x.numCompletedTasks for x in stages if x) / total if total else 0.0
+        if job.tiles and job.done is not None:  # a task that runs twice counts twice
+            job.told = max(job.told, min(1.0, job.done.value / job.tiles))
+        return job.told
 
     def cancel(self, job_id: str) -> None:
         """Ends an export that runs."""
@@ -147,11 +166,10 @@ class Service:
             self.spark.interruptTag(f"export-{job_id}")
 
     def download(self, job_id: str) -> tuple[str, bytes]:
-        """File name and bytes of an export that is done; the bytes are let go of once they are fetched."""
+        """File name and bytes of an export that is done, as often as asked for while it is among the latest MAX_EXPORTS."""
         job = self.jobs[job_id]
         if job.status != "done":
             raise ValueError(f"the export is {job.status}")
-        self.jobs.pop(job_id)
         return job.filename, job.data
 
     def luts(self, root: str) -> list[dict]:

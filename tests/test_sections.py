@@ -7,7 +7,7 @@ from emulsa.kernels.stages import BOUNDARIES
 from emulsa.operators import sections as S
 from emulsa.operators.render import FRAME, planes_of, render
 from emulsa.params.catalog import DEFAULTS, PARAMS
-from emulsa.plans.planner import plan
+from emulsa.plans.planner import plan, tile_grid
 
 H, W = 96, 120
 BASE = {"halation_radius": 6, "grade_exposure": 0.3, "intensity": 40, "dust": 10, "light_leak": 2, "scratches": 4, "hair": 3, "global_intensity": 30, "sharpen": 0.5, "pre_sharpen": 0.4, "edge_soften": 0.4, "edge_jitter": 1, "scatter": 0.4, "aa_strength": 0.5, "brightness": 0.1}
@@ -127,3 +127,27 @@ def test_neutral_and_empty(store, frames, spark):
     assert np.array_equal(picture(store.render(source, plan(dict.fromkeys(DEFAULTS, 0.0) | {"master_opacity": 0.0}))), picture(frames))
     none = store.open(spark.createDataFrame([], FRAME))
     assert store.render(none, made({})).collect() == []
+
+
+def test_tiles_are_counted(spark, frames):
+    done = spark.sparkContext.accumulator(0)
+    p = made({})
+    render(frames, p, done=done).collect()
+    assert done.value == len(tile_grid(H, W, 48, p.halo)) == 6
+
+
+def test_service_previews_by_sections(spark, frames, store):
+    from emulsa.service import Job, Service
+
+    s, plain = Service(spark, store), Service(spark)
+    key, other = s.upload(frames, "a"), plain.upload(frames, "a")
+    for dust in (5, 30):
+        values = DEFAULTS | BASE | {"dust": dust}
+        assert s.preview(key, values, supersample=1) == plain.preview(other, values, supersample=1)
+    assert len(store.known()) == 2
+    job = Job("x", "y.png", tiles=4, done=spark.sparkContext.accumulator(0))
+    s.jobs["x"], told = job, []
+    for step in (0, 1, 2, 3):
+        job.done.add(step)
+        told.append(s.progress("x"))
+    assert told == [0, 0.25, 0.75, 1.0]

@@ -137,7 +137,7 @@ def test_service(spark, noise, tmp_path):
         time.sleep(0.1)
     assert job.status == "done" and job.filename == "a_grain.png" and png.decode(job.data).shape == (3, 37, 53)
     assert [(e["id"], e["status"]) for e in s.exports()] == [(job.id, "done")] and s.progress(job.id) == 1
-    assert s.download(job.id)[0] == "a_grain.png" and s.exports() == []
+    assert s.download(job.id)[0] == "a_grain.png" and s.download(job.id) == s.download(job.id) and len(s.exports()) == 1
     slow = s.export(key, {"intensity": 30}, supersample=1)
     s.cancel(slow)
     assert s.jobs[slow].status in ("cancelled", "done") and 0 <= s.progress(slow) <= 1
