@@ -53,10 +53,16 @@ def clamp_supersample(value) -> float:
     return min(SUPERSAMPLE, key=lambda s: abs(s - x)) if math.isfinite(x) else 2.0
 
 
-def schema() -> dict:
-    """The catalogue as JSON-ready data."""
+#: The preset that a client begins with, if there is one of that name.
+DEFAULT_PRESET = "Stock"
+
+
+def schema(presets: list[dict] | None = None, default_preset: str = DEFAULT_PRESET, default_reference_mp: float | None = None) -> dict:
+    """The catalogue as JSON-ready data. presets: name, values, reference_mp and more of each; default_reference_mp: megapixels for those that name none."""
+    presets = [{**p, "reference_mp": p.get("reference_mp") or default_reference_mp} for p in presets or []]
     record = lambda p: {"key": p.key, "label": p.label, "group": p.section, "min": p.min, "max": p.max, "step": p.step, "default": p.default, "unit": p.unit, "spatial": p.spatial, "choices": list(p.choices), "toggle": p.toggle}
-    return {"groups": list(SECTIONS), "params": [record(p) for p in PARAMS], "neutral": neutral_values(), "neutral_zero": list(NEUTRAL_ZERO)}
+    return {"groups": list(SECTIONS), "params": [record(p) for p in PARAMS], "neutral": neutral_values(), "neutral_zero": list(NEUTRAL_ZERO),
+            "presets": presets, "default_preset": default_preset if default_preset in {p["name"] for p in presets} else None, "default_reference_mp": default_reference_mp}
 
 
 def catalog(spark: SparkSession) -> DataFrame:

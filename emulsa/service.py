@@ -16,7 +16,7 @@ from emulsa.operators.render import FRAME, render
 from emulsa.operators.sections import Sections
 from emulsa.params.ops import clamp_supersample, schema
 from emulsa.plans.planner import Plan, plan, tile_grid
-from emulsa.sources import cube
+from emulsa.sources import cube, presets
 from emulsa.sources.images import encoded, export_name, proxies
 
 #: Frames, and finished exports, that are kept.
@@ -56,8 +56,10 @@ class Service:
     def health(self) -> dict:
         return {"ok": True}
 
-    def params(self) -> dict:
-        return schema()
+    def params(self, preset_folder: str | None = None, default_reference_mp: float | None = None) -> dict:
+        """The schema, with the presets of a folder (some dozens of small files)."""
+        found = presets.scan(self.spark, preset_folder, default_reference_mp).collect() if preset_folder else []
+        return schema([r.asDict() for r in found], default_reference_mp=default_reference_mp)
 
     def upload(self, frames: DataFrame, name: str) -> str:
         """Keeps a frame (one row of frames) under a new id; the least recently used goes beyond MAX_UPLOADS."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import threading
 import uuid
 from collections import OrderedDict
 
@@ -80,23 +82,37 @@ _UPLOADED: OrderedDict[str, dict] = OrderedDict()
 #: Tables that the driver remembers, of each kind; the least recently used go.
 MAX_READ, MAX_UPLOADED = 16, 8
 UPLOAD = "upload:"
+_lock = threading.Lock()  # exports run in threads
 
 
 def _recent(kept: OrderedDict, key, most: int, value=None):
-    """The value under key, which is now the most recently used; with a value, after putting it there."""
-    if value is not None:
-        kept[key] = value
-    kept.move_to_end(key)
-    while len(kept) > most:
-        kept.popitem(last=False)
-    return kept[key]
+    """The value under key (None if there is none), which is now the most recently used; with a value, after putting it there."""
+    with _lock:
+        if value is not None:
+            kept[key] = value
+        if key not in kept:
+            return None
+        kept.move_to_end(key)
+        while len(kept) > most:
+            kept.popitem(last=False)
+        return kept[key]
+
+
+def inside(root: str, path: str) -> bool:
+    """Whether a path lies under root with all links followed; stores that are no local folder have no links."""
+    if "://" in root and not root.startswith("file:"):
+        return True
+    root, path = (os.path.realpath(re.sub(r"^file:/*", "/", x)) for x in (root, path))
+    return path.startswith(root.rstrip("/") + "/")
 
 
 def get(spark: SparkSession, root: str, lut_id: str) -> dict | None:
     """One table for a plan; None if there is none, or one that is too large or bad. Read once as long as its time and size stay."""
     if lut_id.startswith(UPLOAD):
-        return _recent(_UPLOADED, lut_id, MAX_UPLOADED) if lut_id in _UPLOADED else None
+        return _recent(_UPLOADED, lut_id, MAX_UPLOADED)
     path = f"{root}/{safe_id(lut_id)}.cube"
+    if not inside(root, path):
+        return None
     try:
         found = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "length").collect()
     except AnalysisException:  # no such file
@@ -104,13 +120,13 @@ def get(spark: SparkSession, root: str, lut_id: str) -> dict | None:
     if not found or found[0]["length"] > MAX_BYTES:
         return None
     key = tuple(found[0])
-    if key not in _READ:
-        data = spark.read.format("binaryFile").load(path).select("content").first()[0]
-        try:
-            _recent(_READ, key, MAX_READ, parse(bytes(data).decode("utf-8", "replace"), lut_id.rsplit("/", 1)[-1]) | {"id": lut_id})
-        except ValueError:
-            return None
-    return _recent(_READ, key, MAX_READ)
+    if (held := _recent(_READ, key, MAX_READ)) is not None:
+        return held
+    data = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    try:
+        return _recent(_READ, key, MAX_READ, parse(bytes(data).decode("utf-8", "replace"), lut_id.rsplit("/", 1)[-1]) | {"id": lut_id})
+    except ValueError:
+        return None
 
 
 def upload(name: str, content: bytes) -> str:
@@ -126,4 +142,5 @@ def upload(name: str, content: bytes) -> str:
 
 def uploads() -> list[dict]:
     """id, name, size of the uploaded tables, the latest first."""
-    return [{"id": k, "name": v["name"], "size": v["size"]} for k, v in reversed(_UPLOADED.items())]
+    with _lock:
+        return [{"id": k, "name": v["name"], "size": v["size"]} for k, v in reversed(_UPLOADED.items())]

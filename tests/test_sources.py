@@ -166,3 +166,31 @@ def test_frames_are_metered_as_their_pixels(spark, noise):
     rows = {(r.y, r.x): (r.r, r.g, r.b) for r in got.collect()}
     assert len(rows) == 37 * 53 and all(rows[y, x] == tuple(map(float, noise[:, y, x])) for y, x in ((0, 0), (5, 52), (36, 7)))
     assert meter(got).count() == 1
+
+
+def test_links_out_of_the_folder_are_refused(spark, tmp_path):
+    import os
+
+    from emulsa.sources import cube
+
+    table = "LUT_3D_SIZE 2\n" + "\n".join(f"{r} {g} {b}" for b in (0, 1) for g in (0, 1) for r in (0, 1)) + "\n"
+    (tmp_path / "luts").mkdir()
+    (tmp_path / "luts" / "own.cube").write_text(table)
+    (tmp_path / "secret.cube").write_text(table)
+    os.symlink(tmp_path / "secret.cube", tmp_path / "luts" / "link.cube")
+    os.symlink(tmp_path, tmp_path / "luts" / "up")
+    for root in (f"{tmp_path}/luts", f"file://{tmp_path}/luts"):
+        assert cube.get(spark, root, "own")["size"] == 2
+        assert cube.get(spark, root, "link") is None and cube.get(spark, root, "up/secret") is None
+
+
+def test_schema_has_presets(spark, tmp_path):
+    from emulsa.service import Service
+    from emulsa.sources import presets
+
+    (tmp_path / "a.json").write_text(presets.dump("Stock", {"intensity": 30}, reference_mp=12))
+    (tmp_path / "b.json").write_text(presets.dump("Other", {"dust": 5}))
+    told = Service(spark).params(f"file://{tmp_path}", 24)
+    assert [(p["name"], p["reference_mp"]) for p in told["presets"]] == [("Stock", 12), ("Other", 24)]
+    assert told["default_preset"] == "Stock" and told["default_reference_mp"] == 24
+    assert Service(spark).params()["default_preset"] is None
