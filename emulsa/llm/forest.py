@@ -201,15 +201,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     chains = written(nexts.filter(F.col("tree") < CHAINS).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
     links = written(confirmed(chains, sets, similarity), "chain-links")
     others = written(nexts.filter(F.col("tree") >= CHAINS).select(*_pair(F.col("node"), F.col("next"))).distinct().join(chains, ["a", "b"], "left_anti"), "other-chains")
-    roots = written(components(links), "chain-roots")
+    # Links found later are joined to the stars of the earlier ones, so that each round of components has few steps.
+    roots = components(links)
     of = lambda name: roots.select(F.col("a").alias(name), F.col("b").alias(f"root_{name}"))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = written(links.union(confirmed(written(alike(apart, classes), "other-chain-pairs"), sets, similarity)), "chain-links")
+    more = confirmed(written(alike(apart, classes), "other-chain-pairs"), sets, similarity)
+    roots = components(written(roots.union(more), "chain-links"))
 
-    roots = components(links).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    entries = written(live.join(roots, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component")), "forest-entries")
+    component = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    entries = written(live.join(component, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component")), "forest-entries")
     pairs = written(alike(region_pairs(entries, similarity, region), classes), "region-pairs")
-    links = written(links.union(confirmed(pairs, sets, similarity)), "near-links")
+    links = written(roots.union(confirmed(pairs, sets, similarity)), "near-links")
 
     named = component_ids(signed.select("doc_id", "n", "node"), classes.select("node", "doc_id"), links, "node")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
