@@ -135,18 +135,16 @@ def neighbours(classes: DataFrame, similarity: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """a, b of the pairs of nodes (a < b, no repeats) whose whole sets are as similar; sets has node and hashes, a row a node."""
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
+    """a, b of the pairs of nodes (a < b, no repeats) whose whole sets are as similar; sets has node, signature and hashes, a row a node.
+
+    Pairs of whose signatures under ALIKE values agree are dropped before their sets are compared.
+    """
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"), F.col("signature").alias(f"signed_{name}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    value = lambda name, i: F.substring(f"signed_{name}", 2 * i + 1, F.lit(2))
+    agree = F.aggregate(F.sequence(F.lit(0), F.lit(TREES * OWN - 1)), F.lit(0), lambda n, i: n + F.when(value("a", i) == value("b", i), 1).otherwise(0))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.filter(100 * common >= similarity * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
-
-
-def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of nodes of whose signatures at least ALIKE values agree."""
-    side = lambda name: classes.select(F.col("node").alias(name), F.col("signature").alias(f"of_{name}"))
-    agree = F.aggregate(F.sequence(F.lit(0), F.lit(TREES * OWN - 1)), F.lit(0), lambda n, i: n + F.when(F.substring("of_a", 2 * i + 1, F.lit(2)) == F.substring("of_b", 2 * i + 1, F.lit(2)), 1).otherwise(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(agree >= ALIKE).select("a", "b")
+    return both.filter((agree >= ALIKE) & (100 * common >= similarity * (F.size("of_a") + F.size("of_b") - common))).select("a", "b")
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
@@ -195,7 +193,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     wanted = written(classes.join(live.select("node").distinct(), "node", "left_semi").select("one"), "set-texts")
     few = wanted.count() <= MAX_BROADCAST
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.struct("doc_id", "text_key").eqNullSafe(F.col("one")), "left_semi").select("text")
-    sets = written(shingle_sets(texts, shingle, whole=True).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    whole = shingle_sets(texts, shingle, whole=True).groupBy("node").agg(F.first("hashes").alias("hashes"))
+    sets = written(whole.join(classes.select("node", "signature"), "node"), "sets")
 
     nexts = live.filter(F.col("next").isNotNull()).select("tree", "node", "next")
     chains = written(nexts.filter(F.col("tree") < CHAINS).select(*_pair(F.col("node"), F.col("next"))).distinct(), "chain-pairs")
@@ -205,13 +204,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     roots = components(links)
     of = lambda name: roots.select(F.col("a").alias(name), F.col("b").alias(f"root_{name}"))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = confirmed(written(alike(apart, classes), "other-chain-pairs"), sets, similarity)
+    more = confirmed(apart, sets, similarity)
     roots = components(written(roots.union(more), "chain-links"))
 
     component = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
     entries = written(live.join(component, "node", "left").select("tree", "key", "node", "n", F.coalesce("root", "node").alias("component")), "forest-entries")
-    pairs = written(alike(region_pairs(entries, similarity, region), classes), "region-pairs")
-    links = written(roots.union(confirmed(pairs, sets, similarity)), "near-links")
+    links = written(roots.union(confirmed(region_pairs(entries, similarity, region), sets, similarity)), "near-links")
 
     named = component_ids(signed.select("doc_id", "n", "node"), classes.select("node", "doc_id"), links, "node")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
