@@ -98,7 +98,8 @@ def links(fps: DataFrame, c: int) -> DataFrame:
     this = (first == of([k for k, _, _ in slots], slot)) & ((found == of([_signed(b) for _, b, _ in slots], slot)) | ((found == 0) & of([b == lowest[k] for k, b, _ in slots], slot)))
     same = (F.col("l.slot") == F.col("r.slot")) & (F.col("l.key") == F.col("r.key"))
     near = (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(diff) <= MAX_BITS)
-    return keyed.alias("l").join(keyed.alias("r"), same & near & this).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    # Spark takes a table with its keys for as small as the one without, and would send all keys through the driver.
+    return keyed.alias("l").join(keyed.hint("merge").alias("r"), same & near & this).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_type: str = "bigint") -> DataFrame:

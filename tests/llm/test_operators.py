@@ -281,6 +281,14 @@ def test_simhash_odd(odd, none):
     assert simhash.simhash_components(none).collect() == []
 
 
+@pytest.mark.parametrize("c", [1, 2, 3])
+def test_keys_of_links_stay_off_the_driver(spark, c):
+    """A table of fingerprints small enough to be broadcast has up to 640 times its rows as keys."""
+    fps = common.written(spark.range(2_000).selectExpr("xxhash64(id) as fp"), "few")
+    plan = simhash.links(fps, c)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("c", [1, 2, 3])
 def test_all_plans_find_all_links(spark, c):
     rng = np.random.default_rng(3)
