@@ -289,6 +289,20 @@ def test_keys_of_links_stay_off_the_driver(spark, c):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_near_dedup_keeps_keys_of_links_off_the_driver(spark, docs, monkeypatch):
+    import corpus_pipeline as P
+
+    real, plans = simhash.links, []
+
+    def seen(fps, c):
+        plans.append((found := real(fps, c))._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    assert P.near_dedup(spark, docs, SF).count()
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+
+
 @pytest.mark.parametrize("c", [1, 2, 3])
 def test_all_plans_find_all_links(spark, c):
     rng = np.random.default_rng(3)
