@@ -16,6 +16,8 @@ from emulsa.functions import colour as C
 
 #: Pixels of a block, if the reach is no longer than that.
 BLOCK = 1024
+#: Taps up to which a blur is one expression; the code of longer ones is too long to be compiled well.
+UNROLLED = 31
 
 
 def _blocks(df: DataFrame, axis: str, keys: list[str], cols: list[str], reach: int) -> tuple[DataFrame, int]:
@@ -56,11 +58,40 @@ def _reflected(values: Column, at: Column) -> Column:
     return F.get(values, F.least(k, turn - k))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _filtered(values: Column, start: Column, count: Column, kernel: list[tuple[int, float]]) -> Column:
+    """The array of the kernel's sums around each of count places from start, values reflected at both ends."""
+    r, weights = kernel[-1][0], F.array(*[F.lit(w) for _, w in kernel])
+    near = _let(values, lambda v: F.transform(F.sequence(start - r, start + count - 1 + r), lambda k: _reflected(v, k)))
+    total = lambda v: F.aggregate(F.zip_with(v, weights, lambda a, w: a * w), F.lit(0.0), lambda a, x: a + x)
+    return F.when(count > 0, _let(near, lambda v: F.transform(F.sequence(F.lit(1), count), lambda i: total(F.slice(v, i, 2 * r + 1)))))
+
+
+def _convolved(df: DataFrame, axis: str, cols: list[str], kernel: list[tuple[int, float]]) -> DataFrame:
+    """along() of the kernel's sums, by arrays: the plan is as small for many taps as for few."""
+    across = "y" if axis == "x" else "x"
+    rest = [c for c in df.columns if c not in (axis, across, "image_id", *cols)]
+    line, n = _blocks(df, axis, ["image_id", across], [*cols, *rest], kernel[-1][0])
+    before = lambda end: F.size(F.filter("line", lambda e: e[axis] < end))
+    start, count = F.col("start"), F.col("stop") - F.col("start")
+    cut = line.select("image_id", across, "line", before(F.col("block") * n).alias("start"), before((F.col("block") + 1) * n).alias("stop"))
+    own = cut.select("image_id", across, F.slice("line", start + 1, count).alias("own"), *[_filtered(F.col(f"line.{c}"), start, count, kernel).alias(f"of_{c}") for c in cols])
+    # Outer: else the optimizer would compute the arrays once more, to leave out empty ones.
+    out = own.select("image_id", across, F.explode_outer(F.arrays_zip("own", *[f"of_{c}" for c in cols])).alias("e")).filter("e is not null")
+    return out.select("image_id", across, *[F.col(f"e.own.{c}").alias(c) for c in (axis, *rest)], *[F.col(f"e.of_{c}").alias(c) for c in cols]).select(df.columns)
+
+
 def blur(df: DataFrame, cols: list[str], sigma: float, limit: int = 1 << 20) -> DataFrame:
     """Separable gaussian, reflected at the border. limit: the frame's shorter side less one."""
     if sigma < 0.05:
         return df
     kernel = taps(sigma, limit)
+    if len(kernel) > UNROLLED:
+        return _convolved(_convolved(df, "x", cols, kernel), "y", cols, kernel)
     f = lambda values, i: reduce(lambda a, b: a + b, [_reflected(values, i + d) * w for d, w in kernel])
     return along(along(df, "x", cols, f, kernel[-1][0]), "y", cols, f, kernel[-1][0])
 

@@ -82,6 +82,19 @@ def test_decimated_plan_does_not_grow_with_sigma(spark):
     assert N.decimated_blur(df, ["r"], 20.0).columns == df.columns and N.decimated_blur(df, ["r"], 0.01) is df
 
 
+def test_many_taps_are_one_expression(spark, monkeypatch):
+    """The plan of a long blur is no longer than that of a short one; values are those of the unrolled sums, over several blocks and over lines shorter than the reach."""
+    df = frame(spark, 3, 2_300, "((x * 7 + y * 13) % 11) / 10.0").withColumn("z", F.col("x") * 2)
+    plan = N.decimated_blur(df, ["r"], 300.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("pmod(") <= 4
+    got = N.blur(df, ["r"], 12.0)
+    monkeypatch.setattr(N, "UNROLLED", 1_000)
+    want = N.blur(df, ["r"], 12.0)
+    assert got.columns == want.columns == df.columns and got.dtypes == want.dtypes
+    both = got.join(want.withColumnRenamed("r", "s").withColumnRenamed("z", "t"), ["image_id", "y", "x"], "full")
+    assert both.select(F.count("*"), F.count("r"), F.count("s"), F.sum((F.col("z") != F.col("t")).cast("int")), F.max(F.abs(F.col("r") - F.col("s"))) < 1e-12).first() == (6_900, 6_900, 6_900, 0, True)
+
+
 def test_parts_of_a_frame_get_the_same_cells(spark):
     """A part that begins on no multiple of the cell's side, well within the frame."""
     df = frame(spark, 12, 1_000, "sin(x / 40.0) / 2 + 0.5")
