@@ -76,6 +76,8 @@ class Encoder:
         if DOUBLE_SPACE.search(text):
             head, *rest = CUT.split(text)
             return [head, *[" " + x for x in rest]]
+        if "\0" not in text:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         out: list[str] = []
         for k, line in enumerate(text.split("\n")):  # a line end between two visible characters stands alone, too
             head, *rest = line.split(" ")
@@ -90,14 +92,17 @@ class Encoder:
         if self.held >= MEMORY:
             self.known, self.older, self.held = {}, self.known, 0
         new = set().union(*cut).difference(self.known)
-        again = new.intersection(self.older)
+        again = {x for x in new if x in self.older}  # intersection() would go through all that is older
         self._keep((x, self.older[x]) for x in again)
-        fresh = [x for x in new if x not in again]
+        fresh = new - again
         long = [x for x in fresh if len(x) > LONG]
         self._learn([x for x in fresh if len(x) <= LONG])
         once = {x: np.array(e.ids, self.dtype).tobytes() for x, e in zip(long, self.tokenizer.encode_batch_fast(long, add_special_tokens=False), strict=True)} if long else {}
-        get = (lambda x: self.known[x] if x in self.known else once[x]) if once else self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        self.known.update(once)
+        out = [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        for x in once:
+            del self.known[x]
+        return out
 
     def _keep(self, pairs: Iterable[tuple[str, bytes]]) -> None:
         for piece, ids in pairs:

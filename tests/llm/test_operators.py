@@ -202,6 +202,21 @@ def test_tokens(docs, rows):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == _encoded(sorted((r[0], r[1]) for r in rows))
 
 
+def test_a_batch_looks_up_only_its_own_pieces():
+    """What is remembered may be far more than a batch has; long pieces are not kept."""
+
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("went through all that is older")
+
+    e = tokens.Encoder(tokens.default_tokenizer())
+    texts = ["some words here\nand there", "words " + "x" * 1_000 + " again", "a\0b c", " \n", ""]
+    want = [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, e.dtype).tobytes() for x in texts]
+    assert e.encode(texts) == want
+    e.older, e.known = Older(e.known), {}
+    assert e.encode(texts) == want and max(map(len, e.known)) <= tokens.LONG
+
+
 def test_pieces_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
